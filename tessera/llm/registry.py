@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import pii, warc
+from tessera.llm import counts, packing, pii, warc
 
-MODULES = (pii, warc)
+MODULES = (pii, warc, packing, counts)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
