@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import counts, imatch, langid, packing, pii, warc
+from tessera.llm import counts, imatch, langid, licenses, minhash, packing, pii, warc
 
-MODULES = (pii, warc, packing, counts, imatch, langid)
+MODULES = (pii, warc, packing, counts, imatch, langid, minhash, licenses)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
