@@ -23,39 +23,47 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 #: Shares of the documents that hold a lexicon term: at least LOW (and two documents), at most HIGH.
-LOW, HIGH = 0.002, 0.05
-#: Randomised subsets, and the share of the lexicon in each (1 / RARITY).
+LOW, HIGH = 0.005, 0.05
+#: Randomised subsets (a hash deals each term to one of RARITY, of which SUBSETS are used), each 1 / RARITY of the lexicon.
 SUBSETS, RARITY = 48, 128
 #: Rows that a range of document ids should hold, and the fewest and most ranges.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1500, 256, 20_000
 _LOWEST = -(2**63)
 
 
-def terms(text: Column) -> Column:
-    """Hashes of the distinct terms of a text."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def terms(text: str) -> str:
+    """SQL for the hashes of the distinct terms in the column ``text``."""
+    return rf"array_distinct(transform(filter(split(lower({text}), r'[^\p{{L}}\p{{N}}]+'), w -> w <> ''), w -> xxhash64(w)))"
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
     """The term hashes within the document-frequency band, over all documents."""
     total = docs.count()
-    found = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.select(F.explode(F.expr(terms(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = found.filter(F.col("n").between(max(2, low * total), max(2, high * total)))
     return sorted(r["term"] for r in band.select("term").collect())
 
 
-def fingerprint(text: Column, kept: list[int], subsets: int = SUBSETS, rarity: int = RARITY) -> Column:
-    """One hash a subset of the lexicon, 0 where the text has none of its terms."""
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as the variable of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def fingerprint(text: str, kept: list[int], subsets: int = SUBSETS, rarity: int = RARITY) -> Column:
+    """For the column ``text``: one hash a subset of the lexicon, 0 where the text has none of its terms."""
     if not kept:
         return F.array_repeat(F.lit(0).cast("long"), subsets)
-    own = F.sort_array(F.filter(terms(text), lambda t: t.isin(kept)))
+    own = F.expr(f"sort_array(filter({terms(text)}, t -> t IN ({', '.join(f'{k}L' for k in kept)})))")  # one string: thousands of literals are slow to pass singly
+    dealt = F.transform(own, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(rarity)).cast("int").alias("subset"), t.alias("term")))
+    used = F.filter(dealt, lambda d: d["subset"] < subsets)
+
+    empty = F.xxhash64(F.array().cast("array<struct<subset:int,term:bigint>>"))
 
-    def hashed(m: Column) -> Column:
-        chosen = F.filter(own, lambda t: F.pmod(F.xxhash64(t, m), F.lit(rarity)) == 0)
-        return F.when(F.size(chosen) > 0, F.xxhash64(chosen)).otherwise(F.lit(0).cast("long"))
+    def all_hashed(used: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda m: F.xxhash64(F.filter(used, lambda d: d["subset"] == m)))
+        return F.transform(hashes, lambda h: F.when(h == empty, F.lit(0).cast("long")).otherwise(h))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), hashed)
+    return _bound(used, all_hashed)
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:
@@ -100,11 +108,11 @@ def _text(fingerprint: Column) -> Column:
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kept = lexicon(docs)
-    rows = with_next(docs.withColumn("print", fingerprint(F.col("text"), kept)), ["text", "print"])
+    rows = with_next(docs.withColumn("print", fingerprint("text", kept)), ["text", "print"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited)
-    rows = rows.withColumn("edited_print", fingerprint(F.col("edited"), kept))
+    rows = rows.withColumn("edited_print", fingerprint("edited", kept))
     return rows.select(
         "doc_id",
         "n_chars",
