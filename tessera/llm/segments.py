@@ -7,10 +7,11 @@ memory holds a bounded number of parts and starts anew when it is full.
 
 from __future__ import annotations
 
-import array
+import os
 import re
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 
 #: Parts that a worker remembers.
@@ -19,6 +20,8 @@ REMEMBERED = 400_000
 # Unicode's White_Space characters; str.split() also cuts at U+001C to U+001F.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _OTHER_CUTS = re.compile("[\x1c-\x1f]")
+# Between plain letters and such signs the word vocabulary always cuts.
+_LETTERS_THEN_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&()*+,./:;=?@\[\]^_{|}~-]*)")
 
 
 class Memory(dict):
@@ -40,7 +43,12 @@ class Memory(dict):
 
 
 def word_parts(text: str) -> list[str]:
-    """The parts of a text for the word vocabulary, which drops white space."""
+    """The parts of a text for the word vocabulary, which drops white space and case."""
+    try:
+        text.encode("latin-1")  # here case does not depend on a letter's surroundings
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
     return [p for p in _WHITE.split(text) if p] if _OTHER_CUTS.search(text) else text.split()
 
 
@@ -48,12 +56,34 @@ def word_memory(path: str | None = None) -> Memory:
     """Part to its ids as little-endian unsigned 32-bit numbers."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
     library = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
     library.no_truncation()
     library.no_padding()
+    ends = np.zeros(library.get_vocab_size(), bool)
+    ends[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def encode_each(parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode_words(parts: list[str]) -> list[bytes]:
+        """Of plain words: many in one call, which end where a word end stands."""
+        out = []
+        for at in range(0, len(parts), 256):
+            some = parts[at : at + 256]
+            ids = np.array(library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if len(cuts) == len(some) else encode_each(some)
+        return out
+
+    words, rest = Memory(encode_words), Memory(encode_each)
 
     def encode_all(parts: list[str]) -> list[bytes]:
-        return [array.array("I", library.encode(p, add_special_tokens=False).ids).tobytes() for p in parts]
+        cut = [(m[1], m[2]) if (m := _LETTERS_THEN_SIGNS.fullmatch(p)) else (None, p) for p in parts]
+        words.learn([[w for w, _ in cut if w]])
+        rest.learn([[r for _, r in cut if r]])
+        return [(words[w] if w else b"") + (rest[r] if r else b"") for w, r in cut]
 
     return Memory(encode_all)
 
