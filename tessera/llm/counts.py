@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, stored, table
+from tessera.llm.common import released, scratch, stored, table
 from tessera.llm.segments import piece_count_memory, piece_parts
 
 LIMIT = 4096
@@ -61,7 +61,7 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str | None =
     missing = headers.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(cached(), "digest", "left_anti")
     same = rows["digest"].eqNullSafe(F.col("m.digest")) & rows["doc_id"].eqNullSafe(F.col("m.doc_id"))
     to_encode = rows.join(missing.alias("m"), same, "left_semi").select("digest", "content")
-    encoded = to_encode.mapInPandas(_counter(path), "digest binary, n_tokens long")
+    encoded = to_encode.mapInPandas(released(_counter(path)), "digest binary, n_tokens long")
     encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     return headers.join(cached().select("digest", "n_tokens"), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 

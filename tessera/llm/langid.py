@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import released, stored, table
 from tessera.llm.segments import Memory, piece_library
 
 #: Documents a language that the model is fitted on at most, and the rounds of expectation maximisation.
@@ -201,10 +201,10 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS, path: s
         return langs, probability
     share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("lang")]
     dealt = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("fit")), F.lit(1_000_000)) < share * 1_000_000
-    counted = labelled.filter(dealt).select("lang", "text").mapInPandas(_count_words, "lang string, word string, n long")
+    counted = labelled.filter(dealt).select("lang", "text").mapInPandas(released(_count_words), "lang string, word string, n long")
     counts = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     for _ in range(rounds):
-        expected = counts.mapInPandas(_expect(langs, probability, path), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        expected = counts.mapInPandas(released(_expect(langs, probability, path)), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         sums = np.full((len(pieces), len(langs)), SMOOTHING)
         sums[expected["piece"], expected["lang"]] += expected["n"]
         probability = np.vstack([sums / sums.sum(axis=0), probability[-1:]])
@@ -249,7 +249,7 @@ def _predict(langs: list[str], probability: np.ndarray, path: str | None):
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = rows.mapInPandas(_predict(*model, path), "doc_id string, held_out boolean, lang_pred string, score double")
+    scored = rows.mapInPandas(released(_predict(*model, path)), "doc_id string, held_out boolean, lang_pred string, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -268,7 +268,7 @@ def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, path: str
             yield pd.DataFrame({"doc_id": out["doc_id"], "text": out["kept_text"], "lang": out["lang_pred"], "source": out["kept_source"], "n_chars": out["kept_n_chars"]})
 
     as_text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("n_chars").cast("string").alias("n_chars"))
-    kept = as_text.mapInPandas(relabel, "doc_id string, text string, lang string, source string, n_chars string")
+    kept = as_text.mapInPandas(released(relabel), "doc_id string, text string, lang string, source string, n_chars string")
     return kept.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("n_chars", F.col("n_chars").cast("long"))
 
 

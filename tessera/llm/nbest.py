@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import released, table
 from tessera.llm.langid import Lattice
 from tessera.llm.segments import Memory, piece_library, piece_parts
 
@@ -179,7 +179,7 @@ def nbest(docs: DataFrame, n: int = N, tokenizer_path: str | None = None) -> Dat
     """doc_id, rank (from 1), score, ids (little-endian unsigned 32-bit) of the n best segmentations of each text."""
     path = tokenizer_path or public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rows.mapInPandas(_encoder(n, path), "doc_id string, rank int, score double, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(released(_encoder(n, path)), "doc_id string, rank int, score double, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

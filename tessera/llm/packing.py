@@ -30,7 +30,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import released, stored, table
 from tessera.llm.segments import word_memory, word_parts
 
 CAPACITY, END = 2048, b"\0\0\0\0"
@@ -62,7 +62,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     schema = "doc_id string, piece int, start long, length long, ids binary"
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))  # pandas has no null integers
-    return rows.mapInPandas(_cutter(path, capacity), schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(released(_cutter(path, capacity)), schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sweep(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

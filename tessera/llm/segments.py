@@ -15,7 +15,7 @@ import numpy as np
 import public_tokenizers
 
 #: Parts that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 # Unicode's White_Space characters; str.split() also cuts at U+001C to U+001F.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
