@@ -8,10 +8,12 @@
    third of the changed ones, and the group would fall apart.
 3. BANDS x ROWS weighted samples a text, banded: at similarity 0.8 a pair shares no band with
    probability 2e-4, at 0.9 with 1e-7.
-4. Texts that share a band's bucket are compared exactly, by weighted Jaccard similarity. A bucket keeps
-   one text of each class known so far; up to SMALL of them are compared with each other, a larger
-   bucket with STARS of them, whose classes then leave it. That repeats until every bucket is done: a
-   group of m near copies costs STARS * m comparisons at most, and no bucket is cut short.
+4. Texts that share a band's bucket are compared exactly, by weighted Jaccard similarity. Up to SMALL of
+   them are compared with each other; in a larger bucket STARS of them, from its rarest classes so far, are
+   compared with all its texts of other classes and leave it. That repeats, with twice as many stars
+   each time, until all that is left in the bucket is of one class. So each pair of a bucket is verified or
+   its texts are of one class already, and a group of m near copies beside k other texts costs about
+   (STARS + k) * m comparisons.
 5. Links are joined to classes by spreading the least digest, a Spark job a step.
 
 Tables between the steps lie in the shared folder, so adaptive execution can split hot keys and a
@@ -40,7 +42,7 @@ from tessera.llm.segments import Memory
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 CELLS, DAMPING = 1 << 18, 0.25
-#: Texts of a bucket that are all compared, and those that all texts of a larger bucket are compared with.
+#: Texts of a bucket that are all compared, and those that all texts of a larger bucket are compared with at first.
 SMALL, STARS = 24, 12
 SEED = 20240229
 #: Digests that a task remembers so as not to sign copies again; texts whose shingles a task remembers.
@@ -222,23 +224,24 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     texts = stored(wanted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").dropDuplicates(["node"]).select("node", "text"), "texts")
     tested = edges = spark.createDataFrame([], "node long, rep long, similarity double")
     labels = spark.createDataFrame([], "node long, label long")
-    mixed = F.xxhash64("node", F.lit(SEED))
+    mixed, n_stars = F.xxhash64("node", F.lit(SEED)), STARS
     while True:
-        named = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # One text stands for its class in a bucket, another one in each band.
-        chosen = F.min(F.struct(F.xxhash64("node", "band"), "node"))["node"]
-        one = stored(named.groupBy("band", "key", "label").agg(chosen.alias("node")), "classes-in-buckets")
-        sizes = stored(one.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        named = stored(open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+        # A bucket is done when its texts are of one class: only then may pairs of it stay unverified.
+        mixed_ones = named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+        sizes = stored(mixed_ones.select("band", "key", "n"), "sizes")
         if sizes.isEmpty():
             break
-        own = stored(one.join(sizes, ["band", "key"]).select("band", "key", "node", "label", "n"), "open")
+        own = stored(named.join(sizes, ["band", "key"]).select("band", "key", "node", "label", "n"), "open")
         few, many = own.filter(F.col("n") <= SMALL), own.filter(F.col("n") > SMALL)
-        first = F.row_number().over(Window.partitionBy("band", "key").orderBy(mixed, "node"))
-        stars = many.withColumn("nth", first).filter(F.col("nth") <= STARS).select("band", "key", F.col("node").alias("rep"), F.col("label").alias("rep_label"))
+        # Stars come from the rarest classes of their bucket: what lies outside its main class is done first.
+        ranked = many.join(many.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("of_class")), ["band", "key", "label"])
+        first = F.row_number().over(Window.partitionBy("band", "key").orderBy("of_class", mixed, "node"))
+        stars = ranked.withColumn("nth", first).filter(F.col("nth") <= n_stars).select("band", "key", F.col("node").alias("rep"), F.col("label").alias("rep_label"))
         stars = stored(stars, "stars")
-        others = few.select("band", "key", F.col("node").alias("rep"))
-        pairs = few.join(others, ["band", "key"]).filter("node < rep").select("node", "rep")
-        starred = many.join(stars, ["band", "key"]).filter("node <> rep").select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("rep"))
+        others = few.select("band", "key", F.col("node").alias("rep"), F.col("label").alias("rep_label"))
+        pairs = few.join(others, ["band", "key"]).filter("node < rep and label <> rep_label").select("node", "rep")
+        starred = many.join(stars, ["band", "key"]).filter("label <> rep_label").select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("rep"))
         pairs = pairs.union(starred).distinct().join(tested.select("node", "rep"), ["node", "rep"], "left_anti")
         asked = stored(stored(pairs, "pairs").join(texts, "node"), "asked")
         both = asked.join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
@@ -248,8 +251,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         if many.isEmpty():
             break
         labels = components(edges)
-        done = stars.select("band", "key", F.col("rep_label").alias("label")).distinct()
-        open_ = stored(many.join(done, ["band", "key", "label"], "left_anti").select("band", "key", "node"), "open")
+        # Stars have met every text of another class in their bucket, so they alone leave it.
+        open_ = stored(many.join(stars.select("band", "key", F.col("rep").alias("node")), ["band", "key", "node"], "left_anti").select("band", "key", "node"), "open")
+        n_stars *= 2
     return headers, edges
 
 
