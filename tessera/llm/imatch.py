@@ -2,8 +2,8 @@
 
 Terms (lower-case runs of letters and digits) are counted over all documents. The lexicon holds the
 terms whose document frequency lies in a band of shares of the corpus; a document's lexicon terms,
-distinct and sorted, are cut to several randomised subsets of the lexicon, and each subset's terms
-are hashed. Two fingerprints are alike by the share of their subset hashes that agree.
+distinct and sorted, are dealt to randomised subsets that together are the lexicon, and each subset's
+terms are hashed. Two fingerprints are alike by the share of their subset hashes that agree.
 
 The band's lower edge bounds the lexicon: at most (mean distinct terms a document) / LOW terms reach
 it, whatever the corpus size. So it may stand as a constant set in the plan, and a document is
@@ -24,8 +24,8 @@ from tessera.llm.common import table
 
 #: Shares of the documents that hold a lexicon term: at least LOW (and two documents), at most HIGH.
 LOW, HIGH = 0.005, 0.05
-#: Randomised subsets (a hash deals each term to one of RARITY, of which SUBSETS are used), each 1 / RARITY of the lexicon.
-SUBSETS, RARITY = 48, 128
+#: Randomised subsets: a hash deals each term to one of RARITY, and all of them are used, so that no lexicon term is left out.
+SUBSETS = RARITY = 128
 #: Rows that a range of document ids should hold, and the fewest and most ranges.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1500, 256, 20_000
 _LOWEST = -(2**63)
@@ -53,17 +53,17 @@ def fingerprint(text: str, kept: list[int], subsets: int = SUBSETS, rarity: int
     """For the column ``text``: one hash a subset of the lexicon, 0 where the text has none of its terms."""
     if not kept:
         return F.array_repeat(F.lit(0).cast("long"), subsets)
-    own = F.expr(f"sort_array(filter({terms(text)}, t -> t IN ({', '.join(f'{k}L' for k in kept)})))")  # one string: thousands of literals are slow to pass singly
-    dealt = F.transform(own, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(rarity)).cast("int").alias("subset"), t.alias("term")))
-    used = F.filter(dealt, lambda d: d["subset"] < subsets)
+    own = F.expr(f"filter({terms(text)}, t -> t IN ({', '.join(f'{k}L' for k in kept)}))")  # one string: thousands of literals are slow to pass singly
+    dealt = F.sort_array(F.transform(own, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(rarity)).cast("int").alias("subset"), t.alias("term"))))
 
-    empty = F.xxhash64(F.array().cast("array<struct<subset:int,term:bigint>>"))
+    def all_hashed(own: Column) -> Column:
+        def hashed(m: Column) -> Column:  # a subset's terms lie side by side
+            first, last = F.array_position(own["subset"], m), F.size(own["term"]) + 1 - F.array_position(own["back"], m)
+            return F.when(first == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(F.slice(own["term"], first.cast("int"), (last - first + 1).cast("int"))))
 
-    def all_hashed(used: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda m: F.xxhash64(F.filter(used, lambda d: d["subset"] == m)))
-        return F.transform(hashes, lambda h: F.when(h == empty, F.lit(0).cast("long")).otherwise(h))
+        return F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), hashed)
 
-    return _bound(used, all_hashed)
+    return _bound(dealt, lambda d: _bound(F.struct(d["subset"].alias("subset"), F.reverse(d["subset"]).alias("back"), d["term"].alias("term")), all_hashed))
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash
+from tessera.llm import imatch, minhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -46,3 +47,13 @@ def test_near_duplicates_of_one_member_of_a_large_class(spark):
     texts = [" ".join(t) for t in texts + chain]
     found = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
     assert [found[k] for k in range(len(texts))] == single_link(texts)
+
+
+def test_every_lexicon_term_touches_the_fingerprint(spark):
+    docs = spark.createDataFrame([(k, f"w{k % 400}") for k in range(800)], SCHEMA)
+    kept = imatch.lexicon(docs, low=0.001)
+    assert len(kept) == 400
+    prints = docs.limit(400).select("text", imatch.fingerprint("text", kept).alias("p"))
+    assert prints.filter(F.forall("p", lambda h: h == 0)).count() == 0
+    both = docs.select(F.concat_ws(" ", F.lit("w0"), "text").alias("text")).distinct().withColumn("p", imatch.fingerprint("text", kept))
+    assert both.select("p").distinct().count() == 400
