@@ -21,7 +21,13 @@ from tessera.llm.common import table
 SENTENCES = (
     ("spdx_mit", r"spdx license identifier mit\b"),
     ("spdx_apache2", r"spdx license identifier apache 2\.0"),
+    ("spdx_gpl2_later", r"spdx license identifier gpl 2\.0 or later"),
+    ("spdx_gpl2", r"spdx license identifier gpl 2\.0"),
     ("spdx_gpl3", r"spdx license identifier gpl 3\.0"),
+    ("spdx_agpl3", r"spdx license identifier agpl 3\.0"),
+    ("spdx_lgpl", r"spdx license identifier lgpl (2\.0|2\.1|3\.0)"),
+    ("spdx_mpl2", r"spdx license identifier mpl 2\.0"),
+    ("spdx_bsd2", r"spdx license identifier bsd 2 clause"),
     ("spdx_bsd3", r"spdx license identifier bsd 3 clause"),
     ("apache2_name", r"\bapache license,? version 2(\.0)?|\bapache (license )?2\.0"),
     ("apache_obtain", r"obtain a copy of the license at"),
@@ -48,21 +54,32 @@ SENTENCES = (
     ("cc0_name", r"\bcc0\b"),
     ("proprietary", r"\ball rights reserved\b|\bproprietary and confidential\b"),
 )
+#: Of each of these the first that a sentence meets names it; the other sentences stand for themselves.
+FAMILIES = (
+    ("spdx_gpl2_later", "spdx_gpl2", "spdx_gpl3", "agpl3_name", "lgpl_name", "gpl2_or_later", "gpl3_name", "gpl2_name"),
+    ("cc_by_nc_sa", "cc_by_nc", "cc_by_sa", "cc_by"),
+)
 # Ordered rules; a rule fits where its sentences occur in this order.
 RULES = (
     ("AGPL-3.0", ("agpl3_name",)),
     ("LGPL", ("lgpl_name",)),
     ("GPL-2.0-or-later", ("gpl2_or_later",)),
+    ("AGPL-3.0", ("spdx_agpl3",)),
+    ("LGPL", ("spdx_lgpl",)),
+    ("GPL-2.0-or-later", ("spdx_gpl2_later",)),
     ("GPL-3.0", ("gpl3_name",)),
     ("GPL-3.0", ("spdx_gpl3",)),
     ("GPL-2.0", ("gpl2_name",)),
+    ("GPL-2.0", ("spdx_gpl2",)),
     ("Apache-2.0", ("apache2_name", "apache_obtain", "apache_as_is")),
     ("Apache-2.0", ("apache2_name",)),
     ("Apache-2.0", ("spdx_apache2",)),
     ("MPL-2.0", ("mpl2_name",)),
+    ("MPL-2.0", ("spdx_mpl2",)),
     ("BSD-3-Clause", ("bsd_redistribute", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_redistribute", "bsd_source", "bsd_binary")),
     ("BSD-3-Clause", ("spdx_bsd3",)),
+    ("BSD-2-Clause", ("spdx_bsd2",)),
     ("BSD", ("bsd_name",)),
     ("MIT", ("mit_grant", "mit_notice", "as_is")),
     ("MIT", ("mit_name",)),
@@ -79,28 +96,32 @@ HINT = r"(?i)licen[sc]e|permission|copyright|redistribution|warrant|\bcc0?[ -]?b
 
 
 def sentences(text: Column) -> Column:
-    """Sentences end at line ends and after . ! ? before white space."""
-    return F.split(text, r"[\r\n]+|(?<=[.!?])\s+")
+    """Sentences end after . ! ? before white space (not after a version's v.) and at blank lines, whose comment
+    marks do not count; a single line end is white space."""
+    return F.split(text, r"(?<=[.!?])(?<!\b[Vv]\.)\s+|(?:\r\n?|\n)[ \t/*#;%-]*(?:\r\n?|\n)\s*")
 
 
 def normalised(sentence: Column) -> Column:
-    words = F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}.]+", " ")
+    words = F.regexp_replace(F.regexp_replace(F.lower(sentence), r"(?<=[0-9])\+", " or later"), r"[^\p{L}\p{N}.]+", " ")
     return F.trim(F.regexp_replace(words, r"\.(?=\s|$)|(?<=\s)\.", ""))
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the licence sentences of a text, in order, consecutive repeats once."""
-    hinted = F.filter(sentences(text), lambda s: s.rlike(HINT))
-    named = F.when(F.lit(False), F.lit(None).cast("string"))
+def _named(s: Column) -> Column:
+    """The identifiers of the licence sentences in a sentence, which may hold several lines, by where they begin."""
+    patterns, first_of = dict(SENTENCES), {i: family for family in FAMILIES for i in family}
+    found = []
+    for family in dict.fromkeys(first_of.get(i, (i,)) for i, _ in SENTENCES):
+        hit = F.when(F.lit(False), F.lit(None).cast("struct<at:int,id:string>"))
+        for i in family:
+            hit = hit.when(s.rlike(patterns[i]), F.struct(F.regexp_instr(s, F.lit(patterns[i])).alias("at"), F.lit(i).alias("id")))
+        found.append(hit)
+    return F.transform(F.sort_array(F.array_compact(F.array(*found))), lambda f: f["id"])
 
-    def name(s: Column) -> Column:
-        out = named
-        for identifier, pattern in SENTENCES:
-            out = out.when(s.rlike(pattern), F.lit(identifier))
-        return out
 
-    found = F.transform(F.transform(hinted, normalised), name)
-    return F.array_distinct(F.filter(found, lambda i: i.isNotNull()))
+def sentence_ids(text: Column) -> Column:
+    """Identifiers of the licence sentences of a text, in order, each once."""
+    hinted = F.filter(sentences(text), lambda s: s.rlike(HINT))
+    return F.array_distinct(F.flatten(F.transform(F.transform(hinted, normalised), _named)))
 
 
 def licence(ids: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import imatch, minhash
+from tessera.llm import imatch, licenses, minhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -57,3 +57,33 @@ def test_every_lexicon_term_touches_the_fingerprint(spark):
     assert prints.filter(F.forall("p", lambda h: h == 0)).count() == 0
     both = docs.select(F.concat_ws(" ", F.lit("w0"), "text").alias("text")).distinct().withColumn("p", imatch.fingerprint("text", kept))
     assert both.select("p").distinct().count() == 400
+
+
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution."""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_wrapped_licences_and_spdx_lines(spark):
+    spdx = {"MPL-2.0": "MPL-2.0", "AGPL-3.0": "AGPL-3.0-only", "LGPL": "LGPL-2.1", "BSD-2-Clause": "BSD-2-Clause", "GPL-2.0-or-later": "GPL-2.0-or-later", "GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-or-later", "MIT": "MIT"}
+    cases = [(licence, f"// SPDX-License-Identifier: {i}") for licence, i in spdx.items()] + [("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0+\nint x;")]
+    cases += [(licence, mark + text.replace("\n", "\n" + mark)) for licence, text in (("GPL-3.0", GPL3), ("BSD-2-Clause", BSD2), ("MPL-2.0", MPL2)) for mark in ("", " * ", "# ", "// ")]
+    cases += [("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"), ("GPL-2.0-or-later", GPL3.replace("3", "2")), ("LGPL", GPL3.replace("General", "Lesser\nGeneral"))]
+    cases += [("NONE", "GNU General Public License\n\nThere are 3 files.")]
+    rows = licenses.scan(spark.createDataFrame([(f"{k} {licence}", t) for k, (licence, t) in enumerate(cases)], "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.licence) for r in rows if r.doc_id.split()[1] != r.licence] == []
+    both = spark.createDataFrame([("", "See the MIT License\nAll rights reserved")], "doc_id string, text string")
+    assert licenses.scan(both).first().sentence_ids == ["mit_name", "proprietary"]
