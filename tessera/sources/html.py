@@ -15,10 +15,11 @@ SKIPPED = frozenset("head script style template noscript svg".split())
 NO_CONTROL = frozenset("hidden submit button image reset".split())
 ROLES = frozenset("textbox combobox listbox searchbox spinbutton checkbox radio switch slider".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OWN_TEXT = frozenset("select optgroup option textarea button script style".split())
 #: Controls of a page beyond this number are not walked.
 MOST_CONTROLS = 500
 
-ELEMENTS = "page_id string, ordinal int, parent int, tag string, nth int, element_id string, heading string, attributes map<string,string>, text string, skipped boolean"
+ELEMENTS = "page_id string, ordinal int, parent int, tag string, nth int, element_id string, heading string, attributes map<string,string>, text string, skipped boolean, label_ancestor string, aria_labelledby_text string"
 
 
 class _Tree(HTMLParser):
@@ -30,6 +31,9 @@ class _Tree(HTMLParser):
         self.open: list[int] = []
         self.of_type: dict[tuple[int, str], int] = {}
         self.heading: str | None = None
+        self.pieces: list[tuple[int, str]] = []
+        self.span: list[list[int | None]] = []
+        self.label: list[int | None] = []
 
     def handle_starttag(self, tag, attrs):
         parent = self.open[-1] if self.open else -1
@@ -37,6 +41,8 @@ class _Tree(HTMLParser):
         own = {k: v or "" for k, v in reversed(attrs)}
         skipped = tag in SKIPPED or parent >= 0 and self.rows[parent]["skipped"]
         self.rows.append({"ordinal": len(self.rows), "parent": parent, "tag": tag, "nth": nth, "element_id": own.get("id"), "heading": self.heading, "attributes": own, "text": "", "skipped": skipped})
+        self.label.append(len(self.rows) - 1 if tag == "label" else self.label[parent] if parent >= 0 else None)
+        self.span.append([len(self.pieces), len(self.pieces) if tag in VOID else None])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
@@ -50,21 +56,45 @@ class _Tree(HTMLParser):
             if self.rows[self.open[k]]["tag"] == tag:
                 if tag in HEADINGS:
                     self.heading = " ".join(self.rows[self.open[k]]["text"].split())
+                for closed in self.open[k:]:
+                    self.span[closed][1] = len(self.pieces)
                 del self.open[k:]
                 return
 
     def handle_data(self, data):
         if self.open:  # own text; headings and labels also take their descendants'
+            self.pieces.append((self.open[-1], data))
             self.rows[self.open[-1]]["text"] += data
             for k in self.open[:-1]:
                 if self.rows[k]["tag"] in HEADINGS or self.rows[k]["tag"] in ("label", "legend"):
                     self.rows[k]["text"] += data
 
+    def whole_text(self, ordinal: int) -> str | None:
+        """The text of an element and its descendants, without that of controls in it; None if blank."""
+        first, end = self.span[ordinal]
+        own = "".join(data for at, data in self.pieces[first:end] if at == ordinal or self.rows[at]["tag"] not in OWN_TEXT)
+        return " ".join(own.split()) or None
+
+    def name_all(self):
+        """Each row's text of the label around it (unless that is for another one) and of the elements it names."""
+        by_id: dict[str, int] = {}
+        for row in self.rows:
+            by_id.setdefault(row["element_id"], row["ordinal"])
+        of_label: dict[int, str | None] = {}
+        for row, label in zip(self.rows, self.label, strict=True):
+            own = row["tag"] == "label" or label is None or "for" in self.rows[label]["attributes"]
+            if not own and label not in of_label:
+                of_label[label] = self.whole_text(label)
+            row["label_ancestor"] = None if own else of_label[label]
+            named = [self.whole_text(by_id[i]) for i in row["attributes"].get("aria-labelledby", "").split() if i in by_id]
+            row["aria_labelledby_text"] = " ".join(filter(None, named)) or None
+
 
 def parse(html: str | None) -> list[dict]:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    tree.name_all()
     return tree.rows
 
 
@@ -99,6 +129,6 @@ def controls(pages: DataFrame) -> DataFrame:
     at = F.col("attributes")
     return found.join(named, ["page_id", "ordinal"], "left").select(
         "page_id", "ordinal", "tag", at["type"].alias("input_type"), at["inputmode"].alias("inputmode"), at["name"].alias("name"), "element_id", "label_for",
-        F.lit(None).cast("string").alias("label_ancestor"), at["aria-label"].alias("aria_label"), F.lit(None).cast("string").alias("aria_labelledby_text"), at["title"].alias("title"),
+        "label_ancestor", at["aria-label"].alias("aria_label"), "aria_labelledby_text", at["title"].alias("title"),
         at["placeholder"].alias("placeholder"), F.col("heading").alias("section_heading"), at["autocomplete"].alias("autocomplete_raw"), at["maxlength"].try_cast("int").alias("maxlength"),
     )
