@@ -1,31 +1,33 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 1. Texts become lower-case words and five-word shingles (a shorter text is one shingle). A 64-bit
-   digest of the words names a text; copies share it and are handled once from here on.
-2. Document frequencies over all documents are kept in a count-mean sketch of CELLS numbers, whose
-   size does not depend on the corpus. A shingle weighs (1 + ln tf) * (1 + DAMPING * ln(N / df) / ln N):
-   with undamped frequencies the unchanged shingles of a large group of near copies would weigh a
-   third of the changed ones, and the group would fall apart.
+   digest of the words names a text; copies share it and are one node from here on.
+2. A shingle weighs (1 + ln tf) * (1 + ln min(N / df, 1 / RARE)): a shingle that fewer than a share RARE of
+   the documents hold is rare, and beyond that its weight grows no more (else the few changed shingles of
+   near copies would outweigh the many common ones). Only frequencies above that share matter, and a
+   cell of the count sketch holds a share of N that does not depend on N (the mean shingles of a document
+   over CELLS, about 0.1 %), so the sketch stays good at any corpus size.
 3. BANDS x ROWS weighted samples a text, banded: at similarity 0.8 a pair shares no band with
    probability 2e-4, at 0.9 with 1e-7.
-4. Texts that share a band's bucket are compared exactly, by weighted Jaccard similarity. Up to SMALL of
-   them are compared with each other; in a larger bucket STARS of them, from its rarest classes so far, are
-   compared with all its texts of other classes and leave it. That repeats, with twice as many stars
-   each time, until all that is left in the bucket is of one class. So each pair of a bucket is verified or
-   its texts are of one class already, and a group of m near copies beside k other texts costs about
-   (STARS + k) * m comparisons.
-5. Links are joined to classes by spreading the least digest, a Spark job a step.
+4. In a bucket of at most SMALL texts all pairs are verified by exact weighted Jaccard similarity.
+5. Texts of larger buckets are sampled again with DENSE_BANDS x DENSE_ROWS: long keys tell the many texts of
+   similarity 0.6 apart that short keys lump together (at 0.8 a pair of them shares a key with probability
+   0.974, at 0.85 with 0.9999). There every text is first verified against one leader of its bucket, the
+   links are joined to classes, and then every pair of a bucket whose texts are not of one class yet is
+   verified. So each pair of such a bucket is verified, or its texts are of one class already.
+6. Links are joined to classes by spreading the least node, a Spark job a step.
 
 Tables between the steps lie in the shared folder, so adaptive execution can split hot keys and a
-lost executor costs one step's tasks.
+lost executor costs one step's tasks; superseded tables are deleted.
 
 Defined results: null texts are empty; all empty texts are copies of each other; repeated rows get
-equal classes; a class's id is its least doc_id (its least digest where all ids are null); other
-columns are ignored.
+equal classes; null ids take part like others; a class's id is its least doc_id (its least digest where
+all ids are null); other columns are ignored. Digests have 64 bits.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -33,44 +35,88 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import released, stored, table
-from tessera.llm.segments import Memory
+from tessera.llm.common import dropped, released, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-CELLS, DAMPING = 1 << 18, 0.25
-#: Texts of a bucket that are all compared, and those that all texts of a larger bucket are compared with at first.
-SMALL, STARS = 24, 12
+DENSE_BANDS, DENSE_ROWS = 128, 16
+CELLS, RARE = 1 << 18, 0.02
+#: Texts of a bucket that are all compared with each other at once.
+SMALL = 16
 SEED = 20240229
 #: Digests that a task remembers so as not to sign copies again; texts whose shingles a task remembers.
-SEEN, REMEMBERED_TEXTS = 500_000, 64
+SEEN, REMEMBERED_TEXTS = 200_000, 256
+#: Characters whose words are hashed together.
+BLOCK = 1 << 18
+#: Shingles that are sampled together, and cells (shingles x samples) that stand in memory at once.
+SAMPLED, SAMPLE_CELLS = 8192, 1 << 19
 
-_WORDS = re.compile(r"\w+")
-_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+_CUT = re.compile(r"\W")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ROWS_OF_SKETCH = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
-def word_hashes() -> Memory:
-    """Part between white space to the hash of its letters and digits in lower case, 0 if it has none."""
+@functools.cache
+def _is_word() -> np.ndarray:
+    """By code point: a letter, digit or underscore."""
+    return np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)])
 
-    def hash_all(parts: list[str]) -> list[int]:
-        words = [w if (w := p.strip(_SIGNS)).isalnum() else " ".join(_WORDS.findall(p)) for p in parts]
-        return [xxhash.xxh64_intdigest(w.lower(), SEED) >> 1 | 1 if w else 0 for w in words]
 
-    return Memory(hash_all)
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    odd = 0x9E3779B97F4A7C15
+    return tuple(np.cumprod(np.full(n, x, np.uint64)) for x in (odd, pow(odd, -1, 1 << 64)))
 
 
-def hashed_texts(texts, memory: Memory) -> list[np.ndarray]:
+def _hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text in lower case starts, and its hash: a polynomial over its code points."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    change = np.flatnonzero(np.diff(_is_word()[code], prepend=False, append=False))
+    start, end = change[::2], change[1::2]
+    power, inverse = (x[: len(code)] for x in _powers(1 << (len(code)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint32(1)) * power)])
+    words = (sums[end] - sums[start]) * inverse[start]
+    words = (words ^ words >> np.uint64(32)) * _MIX
+    return start, words ^ words >> np.uint64(29)
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """A text in blocks of about BLOCK characters that end after no word's inside."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + BLOCK)
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def hashed_texts(texts: list[str | None]) -> list[np.ndarray]:
     """The word hashes of each text."""
-    parts = [t.split() if t else [] for t in texts]
-    memory.learn(parts)
-    out = []
-    for own in parts:
-        words = np.fromiter(map(memory.__getitem__, own), np.int64, len(own))
-        out.append((words if words.all() else words[words != 0]).view(np.uint64))
+    out, held, size = [], [], 0
+
+    def hash_held():
+        begin = np.cumsum([0, *(len(t) + 1 for t in held)])
+        start, words = _hashed_words("\n".join(held))
+        cuts = np.searchsorted(start, begin)
+        out.extend(words[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        held.clear()
+
+    for text in texts:
+        text = (text or "").lower()
+        if held and size + len(text) > BLOCK:
+            hash_held()
+            size = 0
+        if len(text) > BLOCK:
+            out.append(np.concatenate([_hashed_words(b)[1] for b in _blocks(text)]))
+        else:
+            held.append(text)
+            size += len(text) + 1
+    if held:
+        hash_held()
     return out
 
 
@@ -87,63 +133,111 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(min(SHINGLE, len(words))):
         total = (total ^ words[k : k + n]) * _MIX
         total ^= total >> np.uint64(29)
-    return np.unique(total, return_counts=True)
+    total.sort()
+    first = np.flatnonzero(np.concatenate([[True], total[1:] != total[:-1]]))
+    return total[first], np.diff(first, append=n)
 
 
-def cells_of(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def cells_of(hashes: np.ndarray, row: int) -> np.ndarray:
+    return ((hashes * _ROWS_OF_SKETCH[row]) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
 class Weights:
-    """TF-IDF weights from the sketch of document frequencies."""
+    """TF-IDF weights from the sketch of document frequencies (its rows x CELLS numbers)."""
 
     def __init__(self, sketch: np.ndarray, documents: int):
-        self.scale = DAMPING / np.log(max(documents, 2))
-        noise = (sketch.sum() - sketch) / (CELLS - 1)
-        df = np.clip(sketch - noise, 1, max(documents, 1))
-        self.idf = (1 + self.scale * np.log(max(documents, 1) / df)).astype(np.float32)
+        noise = (sketch.sum(axis=1, keepdims=True) - sketch) / (CELLS - 1)
+        share = np.clip((sketch - noise) / max(documents, 1), RARE, 1)
+        self.idf = (1 - np.log(share)).astype(np.float32)
 
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts, dtype=np.float32)) * self.idf[cells_of(hashes)]
+        idf = self.idf[0][cells_of(hashes, 0)]
+        for row in range(1, len(self.idf)):  # each row can only count too much
+            idf = np.maximum(idf, self.idf[row][cells_of(hashes, row)])
+        return (1 + np.log(counts, dtype=np.float32)) * idf
 
 
 class Sampler:
-    """BANDS keys a text by improved consistent weighted sampling; the random draws of a (shingle,
-    sample) come from tables by a hash of both."""
+    """Keys of texts by improved consistent weighted sampling; the random draws of a (shingle, sample)
+    come from tables by a hash of both.
+
+    A sample is the shingle with the least log a = log c - r (t - beta + 1), t = floor(log w / r + beta), which
+    lies in [log c - r - log w, log c - log w). The tables are sorted by log c - r, so the leading bits of the hash
+    bound log a, and only shingles that may come below a limit are worked out; where none does, all are."""
 
-    BITS = 14
+    BITS, SHARE = 14, 4.0
 
-    def __init__(self):
-        rng = np.random.default_rng(SEED)
+    def __init__(self, bands: int, rows: int, seed: int = SEED):
+        rng = np.random.default_rng(seed)
         size = 1 << self.BITS
-        self.r = rng.gamma(2, 1, size).astype(np.float32)
-        self.inverse = (1 / self.r).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2, 1, size)).astype(np.float32)
-        self.factor = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def keys(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        best = np.full(BANDS * ROWS, np.inf, np.float32)
-        chosen = np.zeros(BANDS * ROWS, np.uint64)
-        for at in range(0, len(hashes), 512):
-            h, log_w = hashes[at : at + 512, None], np.log(weights[at : at + 512, None])
-            z = (h * self.factor) >> np.uint64(64 - 2 * self.BITS)
-            draw = (z >> np.uint64(self.BITS)).astype(np.int32)
-            beta = (z & np.uint64((1 << self.BITS) - 1)).astype(np.float32) * np.float32(2.0**-self.BITS)
-            r = self.r[draw]
-            t = np.floor(log_w * self.inverse[draw] + beta)
-            log_a = self.log_c[draw] - r * (t - beta + 1)
-            row = log_a.argmin(axis=0)
-            cols = np.arange(BANDS * ROWS)
-            low = log_a[row, cols]
-            better = low < best
-            best = np.where(better, low, best)
-            sample = (h[row, 0] + t[row, cols].astype(np.int64).astype(np.uint64)) * _MIX
-            chosen = np.where(better, sample, chosen)
-        keys = np.zeros(BANDS, np.uint64)
-        for k in range(ROWS):
-            keys = (keys ^ chosen[k::ROWS][:BANDS]) * _MIX
+        r, log_c = rng.gamma(2, 1, size), np.log(rng.gamma(2, 1, size))
+        order = np.argsort(log_c - r)
+        self.r, self.log_c, self.low = (x[order].astype(np.float32) for x in (r, log_c, log_c - r))
+        self.bands, self.rows = bands, rows
+        self.factor = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+    def _worth(self, z: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log a and t of drawn hashes."""
+        draw = z >> np.uint32(32 - self.BITS)
+        beta = ((z >> np.uint32(32 - 2 * self.BITS)) & np.uint32((1 << self.BITS) - 1)).astype(np.float32) * np.float32(2.0**-self.BITS)
+        r = self.r[draw]
+        t = np.floor(log_w / r + beta)
+        return self.log_c[draw] - r * (t - beta + 1), t
+
+    @staticmethod
+    def _where(mask: np.ndarray) -> np.ndarray:
+        """np.flatnonzero of few hits, eight cells at a time."""
+        words = mask.ravel().view(np.uint64)
+        some = np.flatnonzero(words)
+        hits = np.flatnonzero(words[some].view(bool))
+        return some[hits >> 3] * 8 + (hits & 7)
+
+    @staticmethod
+    def _least(group: np.ndarray, log_a: np.ndarray) -> np.ndarray:
+        """Where each run of equal groups has its (first) least value."""
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least = np.minimum.reduceat(log_a, first)
+        hits = np.flatnonzero(log_a == np.repeat(least, np.diff(first, append=len(group))))
+        return hits[np.concatenate([[True], group[hits][1:] != group[hits][:-1]])]
+
+    def keys(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Texts x bands; ``texts``: each one's shingle hashes (at least one) and their weights."""
+        lengths = np.array([len(h) for h, _ in texts])
+        hashes, log_w = np.concatenate([h for h, _ in texts]), np.log(np.concatenate([w for _, w in texts]))
+        of, begin = np.repeat(np.arange(len(texts)), lengths), np.cumsum(lengths) - lengths
+        limit = np.log(self.SHARE / np.add.reduceat(np.exp(log_w), begin)).astype(np.float32)
+        bound = np.minimum(np.searchsorted(self.low, limit[of] + log_w), len(self.low) - 1).astype(np.uint32) << np.uint32(32 - self.BITS)
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        limit = np.minimum(limit, self.low[-1] - np.maximum.reduceat(log_w, begin))  # beyond the tables nothing is sure
+        chosen = np.zeros((len(self.factor), len(texts)), np.uint64)
+        step = max(8, SAMPLE_CELLS // len(hashes) // 8 * 8)
+        for at in range(0, len(self.factor), step):
+            z = self.factor[at : at + step, None] * short
+            cell = self._where(z < bound)
+            sample, shingle = np.divmod(cell, len(hashes))
+            log_a, t = self._worth(z.ravel()[cell], log_w[shingle])
+            group = sample * len(texts) + of[shingle]
+            open_ = np.ones(len(z) * len(texts), bool)
+            if len(group):
+                best = self._least(group, log_a)
+                best = best[log_a[best] < limit[of[shingle[best]]]]
+                chosen[at + sample[best], of[shingle[best]]] = hashes[shingle[best]] + t[best].astype(np.int64).astype(np.uint64)
+                open_[group[best]] = False
+            rest = np.flatnonzero(open_)
+            if len(rest):
+                text = rest % len(texts)
+                each = lengths[text]
+                group = np.repeat(np.arange(len(rest)), each)
+                shingle = np.arange(len(group)) - np.repeat(np.cumsum(each) - each, each) + begin[text][group]
+                log_a, t = self._worth(self.factor[at + rest // len(texts)][group] * short[shingle], log_w[shingle])
+                best = self._least(group, log_a)
+                chosen[at + rest // len(texts), text] = hashes[shingle[best]] + t[best].astype(np.int64).astype(np.uint64)
+        chosen = (chosen * _MIX).reshape(self.bands, self.rows, len(texts))
+        keys = np.arange(self.bands, dtype=np.uint64)[:, None] * np.ones(len(texts), np.uint64)
+        for k in range(self.rows):
+            keys = (keys ^ chosen[:, k]) * _MIX
             keys ^= keys >> np.uint64(31)
-        return keys.view(np.int64)
+        return keys.T.view(np.int64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -155,42 +249,81 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, node) and, at the end, (cell, count) with no doc."""
-    memory, sketch = word_hashes(), np.zeros(CELLS, np.int64)
+    """Rows (doc_id, row, node) and, at the end, (cell, count) with no row."""
+    sketch = np.zeros(len(_ROWS_OF_SKETCH) * CELLS, np.int64)
     for batch in batches:
-        texts = hashed_texts(batch["text"], memory)
-        for words in texts:
-            np.add.at(sketch, cells_of(shingles(words)[0]), 1)
-        yield pd.DataFrame({"is_doc": True, "doc_id": batch["doc_id"], "key": [digest(w) for w in texts], "n": 1})
+        texts = hashed_texts(batch["text"].tolist())
+        if texts:
+            all_ = np.concatenate([shingles(words)[0] for words in texts])
+            for row in range(len(_ROWS_OF_SKETCH)):
+                sketch[row * CELLS : (row + 1) * CELLS] += np.bincount(cells_of(all_, row), minlength=CELLS)
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "row": batch["row"], "key": [digest(w) for w in texts], "n": 0})
     used = np.flatnonzero(sketch)
-    yield pd.DataFrame({"is_doc": False, "doc_id": None, "key": used, "n": sketch[used]})
+    yield pd.DataFrame({"doc_id": None, "row": None, "key": used, "n": sketch[used]})
 
 
-def _signer(weights):
+def _signer(weights, bands: int, rows: int):
+    """(node, k0, k1, ...) of texts that are not empty, copies mostly once a task."""
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory, sampler, seen, weigh = word_hashes(), Sampler(), set(), weights.value
+        sampler, seen, weigh = Sampler(bands, rows), set(), weights.value
+        columns = ["node", *(f"k{b}" for b in range(bands))]
         for batch in batches:
-            rows = []
-            for words in hashed_texts(batch["text"], memory):
+            nodes, texts, out, held = [], [], [], 0
+
+            def sampled():
+                keys = sampler.keys(texts)
+                out.append(np.column_stack([np.array(nodes, np.int64), keys]))
+                nodes.clear()
+                texts.clear()
+
+            for words in hashed_texts(batch["text"].tolist()):
                 node = digest(words)
                 if len(words) and node not in seen:
-                    hashes, counts = shingles(words)
-                    rows.append((node, sampler.keys(hashes, weigh(hashes, counts)).tolist()))
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
-            yield pd.DataFrame(rows, columns=["node", "keys"])
+                    hashes, counts = shingles(words)
+                    if texts and held + len(hashes) > SAMPLED:
+                        sampled()
+                        held = 0
+                    nodes.append(node)
+                    texts.append((hashes, weigh(hashes, counts)))
+                    held += len(hashes)
+            if texts:
+                sampled()
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=columns)
 
     return sign
 
 
+def banded(texts: DataFrame, weights, bands: int, rows: int) -> DataFrame:
+    """(node, key) of each distinct text and band."""
+    names = [f"k{b}" for b in range(bands)]
+    signed = texts.select("text").mapInPandas(released(_signer(weights, bands, rows)), "node long, " + ", ".join(f"{k} long" for k in names))
+    once = signed.groupBy("node").agg(*(F.max(k).alias(k) for k in names))
+    return once.select("node", F.explode(F.array(*names)).alias("key"))
+
+
+def densely_banded(texts: DataFrame, weights) -> DataFrame:
+    """(node, key) of distinct texts and the bands of the longer keys."""
+    sign = _signer(weights, DENSE_BANDS, DENSE_ROWS)
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys in sign(batches):
+            yield pd.DataFrame({"node": np.repeat(keys["node"].to_numpy(), DENSE_BANDS), "key": keys.iloc[:, 1:].to_numpy().ravel()})
+
+    return texts.select("text").mapInPandas(released(listed), "node long, key long")
+
+
 def _verifier(weights):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory, weigh, known = word_hashes(), weights.value, OrderedDict()
+        weigh, known = weights.value, OrderedDict()
 
         def weighed(node: int, text: str):
             if node not in known:
-                hashes, counts = shingles(hashed_texts([text], memory)[0])
+                hashes, counts = shingles(hashed_texts([text])[0])
                 known[node] = hashes, weigh(hashes, counts)
                 if len(known) > REMEMBERED_TEXTS:
                     known.popitem(last=False)
@@ -204,75 +337,102 @@ def _verifier(weights):
     return verify
 
 
+def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """(node, rep, similarity), stored, of pairs (node, rep)."""
+    asked = stored(pairs, "pairs")
+    both = asked.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
+    out = stored(both.mapInPandas(released(_verifier(weights)), "node long, rep long, similarity double"), "verified")
+    dropped(asked)
+    return out
+
+
+def row_key() -> Column:
+    """Names a row by its id and text; repeated rows share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, node, n) of the buckets that hold n > 1 texts."""
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    return keyed.join(sizes.select("key", "n"), "key")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("rep")).distinct()
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Headers (doc_id, node) of all rows, and the verified links (node, rep, similarity) between different texts."""
+    """Headers (doc_id, row, node) of all rows, and the verified links (node, rep, similarity) between different texts."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    first = stored(rows.mapInPandas(released(_first_pass), "is_doc boolean, doc_id string, key long, n long"), "digests")
-    headers = first.filter("is_doc").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("key").alias("node"))
-    counted = first.filter("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
-    sketch = np.zeros(CELLS, np.int64)
+    keyed_rows = rows.withColumn("row", row_key())
+    first = stored(keyed_rows.withColumn("row", F.col("row").cast("string")).mapInPandas(released(_first_pass), "doc_id string, row string, key long, n long"), "digests")
+    headers = first.filter("n = 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row").cast("long").alias("row"), F.col("key").alias("node"))
+    counted = first.filter("n > 0").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # 2 x CELLS rows at most
+    sketch = np.zeros(len(_ROWS_OF_SKETCH) * CELLS, np.int64)
     sketch[counted["key"]] = counted["n"]
-    weights = spark.sparkContext.broadcast(Weights(sketch, headers.count()))
-
-    signed = rows.select("text").mapInPandas(released(_signer(weights)), "node long, keys array<long>")
-    banded = stored(signed.select("node", F.posexplode("keys").alias("band", "key")).distinct(), "bands")
-    shared = stored(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key"), "buckets")
-    open_ = stored(banded.join(shared, ["band", "key"]), "open")
-    ids = headers.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(open_.select("node").distinct().join(ids, "node"), "sharing")
-    texts = stored(wanted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").dropDuplicates(["node"]).select("node", "text"), "texts")
-    tested = edges = spark.createDataFrame([], "node long, rep long, similarity double")
-    labels = spark.createDataFrame([], "node long, label long")
-    mixed, n_stars = F.xxhash64("node", F.lit(SEED)), STARS
-    while True:
-        named = stored(open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
-        # A bucket is done when its texts are of one class: only then may pairs of it stay unverified.
-        mixed_ones = named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-        sizes = stored(mixed_ones.select("band", "key", "n"), "sizes")
-        if sizes.isEmpty():
-            break
-        own = stored(named.join(sizes, ["band", "key"]).select("band", "key", "node", "label", "n"), "open")
-        few, many = own.filter(F.col("n") <= SMALL), own.filter(F.col("n") > SMALL)
-        # Stars come from the rarest classes of their bucket: what lies outside its main class is done first.
-        ranked = many.join(many.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("of_class")), ["band", "key", "label"])
-        first = F.row_number().over(Window.partitionBy("band", "key").orderBy("of_class", mixed, "node"))
-        stars = ranked.withColumn("nth", first).filter(F.col("nth") <= n_stars).select("band", "key", F.col("node").alias("rep"), F.col("label").alias("rep_label"))
-        stars = stored(stars, "stars")
-        others = few.select("band", "key", F.col("node").alias("rep"), F.col("label").alias("rep_label"))
-        pairs = few.join(others, ["band", "key"]).filter("node < rep and label <> rep_label").select("node", "rep")
-        starred = many.join(stars, ["band", "key"]).filter("label <> rep_label").select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("rep"))
-        pairs = pairs.union(starred).distinct().join(tested.select("node", "rep"), ["node", "rep"], "left_anti")
-        asked = stored(stored(pairs, "pairs").join(texts, "node"), "asked")
-        both = asked.join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
-        verified = stored(both.mapInPandas(released(_verifier(weights)), "node long, rep long, similarity double"), "verified")
-        tested = tested.union(verified)
-        edges = stored(edges.union(verified.filter(F.col("similarity") >= threshold)), "links")
-        if many.isEmpty():
-            break
-        labels = components(edges)
-        # Stars have met every text of another class in their bucket, so they alone leave it.
-        open_ = stored(many.join(stars.select("band", "key", F.col("rep").alias("node")), ["band", "key", "node"], "left_anti").select("band", "key", "node"), "open")
-        n_stars *= 2
+    weights = spark.sparkContext.broadcast(Weights(sketch.reshape(len(_ROWS_OF_SKETCH), CELLS), headers.count()))
+
+    keyed = stored(banded(rows, weights, BANDS, ROWS), "bands")
+    own = stored(_shared(keyed), "buckets")
+    dropped(keyed)
+    wanted = own.select("node").distinct().join(headers.groupBy("node").agg(F.min("row").alias("row")), "node")
+    texts = stored(wanted.join(keyed_rows.select("row", "text"), "row").groupBy("node").agg(F.max("text").alias("text")), "texts")
+
+    few = own.filter(F.col("n") <= SMALL).select("key", "node")
+    pairs = _ordered(few.join(few.withColumnRenamed("node", "rep"), "key").filter("node < rep"))
+    tested = verified(pairs, texts, weights)
+
+    dense = own.filter(F.col("n") > SMALL).select("node").distinct().join(texts, "node")
+    dense_keys = stored(densely_banded(dense, weights), "dense-bands")
+    own_dense = stored(_shared(dense_keys).select("key", "node"), "dense-buckets")
+    dropped(dense_keys, own)
+    leaders = own_dense.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(SEED)).alias("rank"), "node"))["node"].alias("rep"))
+    pairs = _ordered(own_dense.join(leaders, "key").filter("node <> rep"))
+    led = verified(pairs.join(tested.select("node", "rep"), ["node", "rep"], "left_anti"), texts, weights)
+    links_of = lambda *parts: stored(_union(parts).filter(F.col("similarity") >= threshold), "links")
+    so_far = links_of(tested, led)
+    labels = components(so_far)
+    named = own_dense.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = stored(named, "named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
+    open_ = stored(named.join(mixed, "key"), "open")
+    others = open_.select("key", F.col("node").alias("rep"), F.col("label").alias("other"))
+    pairs = _ordered(open_.join(others, "key").filter("node < rep and label <> other"))
+    known = tested.select("node", "rep").union(led.select("node", "rep"))
+    last = verified(pairs.join(known, ["node", "rep"], "left_anti"), texts, weights)
+    edges = links_of(tested, led, last)
+    dropped(texts, own_dense, named, open_, so_far, tested, led, last, labels)
     return headers, edges
 
 
+def _union(parts) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) of every node in ``edges`` (a stored table of node, rep)."""
     both = stored(edges.select(F.col("node").alias("u"), F.col("rep").alias("v")).union(edges.select("rep", "node")), "edges")
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")), "labels")
     while True:
+        # The least label of a node and its neighbours, then the label of that node.
         near = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("other")), "v").groupBy(F.col("u").alias("node")).agg(F.min("other").alias("other"))
-        lower = stored(labels.join(near, "node").select("node", "label", F.least("label", "other").alias("lower")), "labels")
-        jump = lower.select(F.col("node").alias("at"), F.col("lower").alias("further"))
-        after = stored(lower.join(jump, lower["lower"] == jump["at"]).select("node", F.col("label").alias("old"), F.least("lower", "further").alias("label")), "labels")
-        if after.filter("old <> label").isEmpty():
-            return after.select("node", "label")
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("lower"))
+        jump = labels.select(F.col("node").alias("lower"), F.col("label").alias("further"))
+        after = stored(lower.join(jump, "lower").select("node", "old", F.least("lower", "further").alias("label")), "labels")
+        dropped(labels)
         labels = after.select("node", "label")
+        labels.stored_at = after.stored_at
+        if after.filter("old <> label").isEmpty():
+            dropped(both)
+            return labels
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links (verified links of the row's text), copies (rows with its words) of every row."""
+    """doc_id, row, class_id, n_links (verified links of the row's text), copies (rows with its words) of every row."""
     headers, edges = links(docs, threshold)
     nodes = headers.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     ends = edges.select("node").union(edges.select("rep")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -282,18 +442,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     firsts = stored(known.groupBy("label").agg(F.min("first").alias("class_id")), "classes")
     named = stored(known.join(firsts, "label").select("node", F.coalesce("class_id", "label").alias("class_id"), "n_links", "copies"), "named")
-    return headers.join(named, "node").select("doc_id", "class_id", "n_links", "copies")
+    return headers.join(named, "node").select("doc_id", "row", "class_id", "n_links", "copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without all but one (the least doc_id) of each class; of repeated rows one stays, rows without an id stay unless their class has one."""
-    kept = stored(classes(docs, threshold), "kept").groupBy("class_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return same.dropDuplicates(["doc_id", "text"])
+    """One row of each class, with all its columns: that with the least doc_id (null ids come last; of equal
+    ids that with the least digest, of repeated rows any). Null texts are empty, and all empty texts are one class."""
+    found = stored(classes(docs, threshold).select("class_id", "doc_id", "row"), "kept")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"]
+    kept = found.groupBy("class_id").agg(first.alias("row")).select(F.col("row").alias(_KEPT)).distinct()
+    keyed = docs.withColumn(_KEY, F.xxhash64(F.col("doc_id").cast("string").isNull(), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+    return keyed.join(kept, F.col(_KEY) == F.col(_KEPT), "left_semi").dropDuplicates([_KEY]).drop(_KEY)
+
+
+#: Names that no column of the documents has.
+_KEY, _KEPT = "__tessera_row", "__tessera_kept"
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
 
 QUERIES = {"op9_minhash": op9_minhash}

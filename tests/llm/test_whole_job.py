@@ -12,11 +12,11 @@ SCHEMA = "doc_id long, text string"
 
 def single_link(texts):
     """The least index of each text's class, by comparing all pairs."""
-    memory = minhash.word_hashes()
-    shingled = [minhash.shingles(w) for w in minhash.hashed_texts(texts, memory)]
-    sketch = np.zeros(minhash.CELLS, np.int64)
+    shingled = [minhash.shingles(w) for w in minhash.hashed_texts(texts)]
+    sketch = np.zeros((2, minhash.CELLS), np.int64)
     for hashes, _ in shingled:
-        np.add.at(sketch, minhash.cells_of(hashes), 1)
+        for row in (0, 1):
+            np.add.at(sketch[row], minhash.cells_of(hashes, row), 1)
     weigh = minhash.Weights(sketch, len(texts))
     weighed = [(h, weigh(h, c)) for h, c in shingled]
     least = list(range(len(texts)))
