@@ -12,9 +12,11 @@
 4. In a bucket of at most SMALL texts all pairs are verified by exact weighted Jaccard similarity.
 5. Texts of larger buckets are sampled again with DENSE_BANDS x DENSE_ROWS: long keys tell the many texts of
    similarity 0.6 apart that short keys lump together (at 0.8 a pair of them shares a key with probability
-   0.974, at 0.85 with 0.9999). There every text is first verified against one leader of its bucket, the
+   0.996, at 0.85 with 0.999999). There every text is first verified against one leader of its bucket, the
    links are joined to classes, and then every pair of a bucket whose texts are not of one class yet is
-   verified. So each pair of such a bucket is verified, or its texts are of one class already.
+   verified, unless what either text shares with any other dense text is too little: with weights W and,
+   of these, C in shingles of two or more dense texts, a pair's similarity is at most m / (W + W' - m),
+   m = min(C, C'). So each pair of such a bucket is verified, is of one class already, or cannot be alike.
 6. Links are joined to classes by spreading the least node, a Spark job a step.
 
 Tables between the steps lie in the shared folder, so adaptive execution can split hot keys and a
@@ -42,7 +44,7 @@ from tessera.llm.common import dropped, released, stored, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-DENSE_BANDS, DENSE_ROWS = 128, 16
+DENSE_BANDS, DENSE_ROWS = 192, 16
 CELLS, RARE = 1 << 18, 0.02
 #: Texts of a bucket that are all compared with each other at once.
 SMALL = 16
@@ -317,6 +319,25 @@ def densely_banded(texts: DataFrame, weights) -> DataFrame:
     return texts.select("text").mapInPandas(released(listed), "node long, key long")
 
 
+def _shared_weights(texts: DataFrame, weights) -> DataFrame:
+    """(node, total, common) of distinct texts: the weight of all shingles, and of those that another text has too."""
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for words in hashed_texts(batch["text"].tolist()):
+                hashes, counts = shingles(words)
+                yield pd.DataFrame({"node": digest(words), "shingle": hashes.view(np.int64), "weight": weights.value(hashes, counts)})
+
+    rows = texts.select("text").mapInPandas(released(weighed), "node long, shingle long, weight double")
+    held = stored(rows, "shingles")
+    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("n = 1")
+    own = alone.groupBy("node").agg(F.sum("weight").alias("alone"))
+    totals = held.groupBy("node").agg(F.sum("weight").alias("total"))
+    out = stored(totals.join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common")), "weights")
+    dropped(held)
+    return out
+
+
 def _verifier(weights):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weigh, known = weights.value, OrderedDict()
@@ -386,23 +407,26 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     dense = own.filter(F.col("n") > SMALL).select("node").distinct().join(texts, "node")
     dense_keys = stored(densely_banded(dense, weights), "dense-bands")
     own_dense = stored(_shared(dense_keys).select("key", "node"), "dense-buckets")
-    dropped(dense_keys, own)
+    dropped(dense_keys)
     leaders = own_dense.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(SEED)).alias("rank"), "node"))["node"].alias("rep"))
     pairs = _ordered(own_dense.join(leaders, "key").filter("node <> rep"))
     led = verified(pairs.join(tested.select("node", "rep"), ["node", "rep"], "left_anti"), texts, weights)
     links_of = lambda *parts: stored(_union(parts).filter(F.col("similarity") >= threshold), "links")
     so_far = links_of(tested, led)
     labels = components(so_far)
-    named = own_dense.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    sums = _shared_weights(dense, weights)
+    named = own_dense.join(labels, "node", "left").join(sums, "node").select("key", "node", F.coalesce("label", "node").alias("label"), "total", "common")
     named = stored(named, "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
     open_ = stored(named.join(mixed, "key"), "open")
-    others = open_.select("key", F.col("node").alias("rep"), F.col("label").alias("other"))
-    pairs = _ordered(open_.join(others, "key").filter("node < rep and label <> other"))
+    others = open_.select("key", F.col("node").alias("rep"), F.col("label").alias("other"), F.col("total").alias("total2"), F.col("common").alias("common2"))
+    least = threshold / (1 + threshold) * (1 - 1e-4)  # a little lower, against rounding
+    alike = F.least("common", "common2") >= least * (F.col("total") + F.col("total2"))
+    pairs = _ordered(open_.join(others, "key").filter("node < rep and label <> other").filter(alike))
     known = tested.select("node", "rep").union(led.select("node", "rep"))
     last = verified(pairs.join(known, ["node", "rep"], "left_anti"), texts, weights)
     edges = links_of(tested, led, last)
-    dropped(texts, own_dense, named, open_, so_far, tested, led, last, labels)
+    dropped(texts, own, own_dense, sums, named, open_, so_far, tested, led, last, labels)
     return headers, edges
 
 

@@ -10,8 +10,8 @@ from tessera.llm import imatch, licenses, minhash
 SCHEMA = "doc_id long, text string"
 
 
-def single_link(texts):
-    """The least index of each text's class, by comparing all pairs."""
+def single_link(texts, first=None):
+    """The least index of each text's class, by comparing all pairs of the first texts."""
     shingled = [minhash.shingles(w) for w in minhash.hashed_texts(texts)]
     sketch = np.zeros((2, minhash.CELLS), np.int64)
     for hashes, _ in shingled:
@@ -19,8 +19,9 @@ def single_link(texts):
             np.add.at(sketch[row], minhash.cells_of(hashes, row), 1)
     weigh = minhash.Weights(sketch, len(texts))
     weighed = [(h, weigh(h, c)) for h, c in shingled]
-    least = list(range(len(texts)))
-    for a in range(len(texts)):
+    n = first or len(texts)
+    least = list(range(n))
+    for a in range(n):
         for b in range(a):
             if least[a] != least[b] and minhash.weighted_jaccard(weighed[a], weighed[b]) >= minhash.THRESHOLD:
                 low, high = sorted((least[a], least[b]))
@@ -49,6 +50,32 @@ def test_near_duplicates_of_one_member_of_a_large_class(spark):
     assert [found[k] for k in range(len(texts))] == single_link(texts)
 
 
+def test_recall_in_a_cloud_of_near_copies(spark):
+    """Hundreds of edits of one text, from light to heavy, beside null ids and ids of two texts."""
+    rng = random.Random(4)
+    base = edited(rng, [""] * 120, 120)
+    cloud = [" ".join(edited(rng, base, rng.choice((1, 1, 2, 2, 3, 4, 5, 6)))) for _ in range(260)]
+    lone = [edited(rng, [""] * 80, 80) for _ in range(4)]
+    pairs = [" ".join(t) for w in lone for t in (w, edited(rng, w, 1))]
+    rest = [f"{k} {k * k} {k * 7 + 1}" for k in range(3000)]
+    texts = cloud + pairs + rest
+    ids = [*range(260), None, None, 7, 500, 501, 7, None, 502, *range(1000, 4000)]
+    found = minhash.classes(spark.createDataFrame(list(zip(ids, texts, strict=True)), SCHEMA)).collect()
+    assert len(found) == len(texts)
+    of = {}
+    for r in found:
+        of.setdefault(r.doc_id, []).append(r.class_id)
+    truth = single_link(texts, 268)
+    together = [(a, b) for a in range(260) if a != 7 for b in range(a) if b != 7 and truth[a] == truth[b]]
+    caught = sum(of[a] == of[b] for a, b in together)
+    apart = [(a, b) for a in range(260) if a != 7 for b in range(a) if b != 7 and truth[a] != truth[b]]
+    assert len(together) > 1000 and len(apart) > 3000, (len(together), len(apart))
+    assert caught >= 0.99 * len(together) and not any(of[a] == of[b] for a, b in apart)
+    nulls = of[None]  # two near copies with null ids are one class, the third is one with 502
+    assert sorted(nulls.count(c) for c in set(nulls)) == [1, 2] and of[502][0] in nulls
+    assert of[500][0] in of[7] and of[501][0] in of[7] and of[500] != of[501]
+
+
 def test_every_lexicon_term_touches_the_fingerprint(spark):
     docs = spark.createDataFrame([(k, f"w{k % 400}") for k in range(800)], SCHEMA)
     kept = imatch.lexicon(docs, low=0.001)
