@@ -36,6 +36,8 @@ from tessera.llm.segments import word_memory, word_parts
 CAPACITY, END = 2048, b"\0\0\0\0"
 #: Pieces that one salted rank group holds on average at most, and the fewest groups of a length.
 RANK_GROUP, LEAST_SALTS = 500_000, 32
+#: Texts that are looked up together.
+TEXTS = 64
 #: The runs are broadcast up to this number (some 40 bytes each).
 BROADCAST_RUNS = 200_000
 
@@ -44,14 +46,16 @@ def _cutter(path: str, capacity: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory = word_memory(path)
         for batch in batches:
-            parts = [word_parts(t) if t else [] for t in batch["text"]]
-            memory.learn(parts)
             rows = []
-            for doc_id, own in zip(batch["doc_id"], parts, strict=True):
-                ids = b"".join(map(memory.__getitem__, own)) + END
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(piece) // 4, piece))
+            for at in range(0, len(batch), TEXTS):
+                some = batch.iloc[at : at + TEXTS]
+                parts = [word_parts(t) if t else [] for t in some["text"]]
+                memory.learn(parts)
+                for doc_id, own in zip(some["doc_id"], parts, strict=True):
+                    ids = b"".join(map(memory.__getitem__, own)) + END
+                    for k, begin in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[begin : begin + 4 * capacity]
+                        rows.append((doc_id, k, begin // 4, len(piece) // 4, piece))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
     return cut
