@@ -10,13 +10,14 @@ id), then expectation maximisation by forward and backward sums over the distinc
 each round; what reaches the driver is bounded by pieces times languages. Prediction needs no
 shuffle: a worker sums each distinct word once and remembers a bounded number of them.
 
-Words are runs of letters in lower case; runs over 24 letters are summed in parts of 24, so that
-products stay within a double's range. Held-out documents are those whose crc32(doc_id as text)
+Words are runs of letters in lower case, of any length: words of more than PRODUCTS letters, whose products
+could leave a double's range, are summed in logarithms. Held-out documents are those whose crc32(doc_id as text)
 mod 4 is 2; they, null texts and null languages are never learned from.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0; so does every text
 where nothing could be learned; ties go to the language first by name; repeated rows give equal
-rows; other columns are ignored.
+rows; ``predict`` ignores other columns, ``keep_identified`` keeps all columns and needs only text (lang is
+replaced or added; without lang or doc_id nothing is learned, and no document stays).
 """
 
 from __future__ import annotations
@@ -37,10 +38,12 @@ from tessera.llm.segments import Memory, piece_library
 FIT_DOCS, ROUNDS = 2500, 2
 #: Added to every expected count; probability of a letter that is no piece.
 SMOOTHING, FLOOR = 0.05, 1e-9
-#: Letters that are summed in one go, and distinct words that a worker counts before it passes them on.
-LONGEST, COUNTED = 24, 200_000
-#: Words whose sums stand in memory at once.
-SUMMED = 8192
+#: Letters up to which products stay within a double's range (FLOOR ** 31 is 1e-279), and distinct words that a worker counts before it passes them on.
+PRODUCTS, COUNTED = 30, 100_000
+#: Places of all words whose sums stand in memory at once.
+PLACES = 1 << 16
+#: Texts that are looked up together.
+TEXTS = 64
 #: A document is rejected below this score.
 LEAST_SCORE = 0.34
 
@@ -59,14 +62,15 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
     """Letters-only lower-case pieces, with or without a word start, and their numbers."""
     library = piece_library(path)
     pieces = sorted({library.id_to_piece(i) for i in range(library.get_piece_size()) if not library.is_byte(i) and not library.is_control(i)})
-    kept = [p for p in pieces if (own := p.removeprefix("▁")) and own.isalpha() and own == own.lower() and len(p) <= LONGEST]
+    kept = [p for p in pieces if (own := p.removeprefix("▁")) and own.isalpha() and own == own.lower()]
     return {p: k for k, p in enumerate(kept)}
 
 
 class Lattice:
-    """All segmentations of many words at once: the pieces' trie as a hash table of (state, letter)."""
+    """All segmentations of many words at once: the pieces' trie, as a plain table for the commonest letters and
+    a hash table of (state, letter) for all."""
 
-    SLOTS = 1 << 18
+    SLOTS, COMMON = 1 << 18, 63
 
     def __init__(self, pieces: dict[str, int]):
         states = {"": 0}
@@ -86,11 +90,27 @@ class Lattice:
                     at = (at + 1) & self.mask
                 self.keys[at], self.to[at] = key, state
 
+        common = [c for c, _ in Counter(p[-1] for p in states if p and ord(p[-1]) < 1 << 16).most_common(self.COMMON)]
+        self.column = np.zeros(1 << 16, np.int64)  # by letter; 0: not a common one
+        self.column[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
+        self.table = np.zeros((len(states), self.COMMON + 1), np.int32)
+        for prefix, state in states.items():
+            if prefix and ord(prefix[-1]) < 1 << 16:
+                self.table[states[prefix[:-1]], self.column[ord(prefix[-1])]] = state
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * 0x9E3779B1) >> 13) & self.mask
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The states after one more letter, 0 where no piece goes on so."""
+        column = self.column.take(letter, mode="clip") * (letter < 1 << 16)
+        out = self.table[state, column]
+        rare = np.flatnonzero(column == 0)
+        if len(rare):
+            out[rare] = self._hashed_step(state[rare], letter[rare])
+        return out
+
+    def _hashed_step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         key = state.astype(np.int64) << 21 | letter
         at = self._slot(key)
         out = np.zeros(len(key), np.int32)
@@ -104,11 +124,10 @@ class Lattice:
         return out
 
     def edges(self, words: list[str]):
-        """(length of each U+2581 + word, [(start, end, word numbers, pieces)]) by start; piece -1 is a letter that is no piece."""
-        width = max(map(len, words)) + 1
-        letters = np.frombuffer("".join("▁" + w.ljust(width - 1, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.int64)
-        lengths = np.array([len(w) + 1 for w in words])
-        out = []
+        """(start, end, word numbers, pieces) of all places, by start; piece -1 is a letter that is no piece."""
+        width = max(map(len, words))
+        letters = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.int64)
+        lengths = np.array([len(w) for w in words])
         for start in range(width):
             own = np.flatnonzero(lengths > start)
             state = np.zeros(len(own), np.int32)
@@ -117,46 +136,71 @@ class Lattice:
                 piece = np.where(state > 0, self.piece[state], -1)
                 use = (piece >= 0) if end > start + 1 else slice(None)
                 if len(own[use]):
-                    out.append((start, end, own[use], piece[use]))
+                    yield start, end, own[use], piece[use]
                 alive = (state > 0) & (lengths[own] > end)
                 own, state = own[alive], state[alive]
                 if not len(own):
                     break
-        return lengths, out
+
+
+def started(words: list[str]) -> list[str]:
+    return ["▁" + w for w in words]
+
+
+def by_places(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of the words, in blocks of similar length and bounded places."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    at = 0
+    while at < len(order):
+        n = max(1, PLACES // (len(words[order[at]]) + 2))
+        while n > 1 and n * (len(words[order[min(at + n, len(order)) - 1]]) + 2) > 2 * PLACES:
+            n //= 2
+        yield order[at : at + n]
+        at += n
+
+
+def _add(logarithms: bool, sums: np.ndarray, at, more: np.ndarray) -> None:
+    sums[at] = np.logaddexp(sums[at], more) if logarithms else sums[at] + more
 
 
 def forward(lattice: Lattice, words: list[str], probability: np.ndarray) -> np.ndarray:
-    """Words x languages: sums over all segmentations. probability: pieces x languages, the floor last."""
-    lengths, edges = lattice.edges(words)
-    sums = np.zeros((len(words), int(lengths.max()) + 1, probability.shape[1]))
-    sums[:, 0] = 1
-    for start, end, own, piece in edges:
-        sums[own, end] += sums[own, start] * probability[piece]
-    return sums[np.arange(len(words)), lengths]
+    """Words x languages: logarithms of the sums over all segmentations. probability: pieces x languages, the floor last."""
+    out, logs = np.zeros((len(words), probability.shape[1])), np.log(probability)
+    for block in by_places(words):
+        own_words = started([words[k] for k in block])
+        lengths = np.array([len(w) for w in own_words])
+        long_ = lengths.max() > PRODUCTS + 1
+        sums = np.full((len(block), int(lengths.max()) + 1, probability.shape[1]), -np.inf if long_ else 0.0)
+        sums[:, 0] = 0 if long_ else 1
+        for start, end, own, piece in lattice.edges(own_words):
+            _add(long_, sums, (own, end), sums[own, start] + logs[piece] if long_ else sums[own, start] * probability[piece])
+        last = sums[np.arange(len(block)), lengths]
+        out[block] = last if long_ else np.log(last)
+    return out
 
 
 def expected_counts(lattice: Lattice, words: list[str], langs: np.ndarray, times: np.ndarray, probability: np.ndarray) -> np.ndarray:
     """Pieces x languages (letters that are no piece last): how often each piece is expected in the words."""
-    lengths, edges = lattice.edges(words)
-    before, after = np.zeros((2, len(words), int(lengths.max()) + 1))
-    before[:, 0] = 1
-    after[np.arange(len(words)), lengths] = 1
-    for start, end, own, piece in edges:
-        before[own, end] += before[own, start] * probability[piece, langs[own]]
-    scale = times / before[np.arange(len(words)), lengths]
-    out = np.zeros(probability.size)
-    for start, end, own, piece in reversed(edges):
-        on = probability[piece, langs[own]] * after[own, end]
-        after[own, start] += on
-        cell = np.where(piece < 0, len(probability) - 1, piece) * probability.shape[1] + langs[own]
-        out += np.bincount(cell, scale[own] * before[own, start] * on, len(out))
+    out, logs = np.zeros(probability.size), np.log(probability)
+    for block in by_places(words):
+        own_words, lang, n = started([words[k] for k in block]), langs[block], times[block]
+        lengths, rows = np.array([len(w) for w in own_words]), np.arange(len(block))
+        long_ = lengths.max() > PRODUCTS + 1
+        edges = list(lattice.edges(own_words))
+        before, after = np.full((2, len(block), int(lengths.max()) + 1), -np.inf if long_ else 0.0)
+        before[:, 0] = after[rows, lengths] = 0 if long_ else 1
+        for start, end, own, piece in edges:
+            _add(long_, before, (own, end), before[own, start] + logs[piece, lang[own]] if long_ else before[own, start] * probability[piece, lang[own]])
+        total = before[rows, lengths]
+        for start, end, own, piece in reversed(edges):
+            on = after[own, end] + logs[piece, lang[own]] if long_ else after[own, end] * probability[piece, lang[own]]
+            _add(long_, after, (own, start), on)
+            share = np.exp(before[own, start] + on - total[own]) if long_ else before[own, start] * on / total[own]
+            cell = np.where(piece < 0, len(probability) - 1, piece) * probability.shape[1] + lang[own]
+            out += np.bincount(cell, n[own] * share, len(out))
     return out.reshape(probability.shape)
 
 
-def parts_of(word: str) -> list[str]:
-    return [word[at : at + LONGEST] for at in range(0, len(word), LONGEST)]
-
-
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
 
@@ -165,7 +209,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            counts.update((lang, p) for w in words_of(text) for p in parts_of(w))
+            counts.update((lang, w) for w in words_of(text))
         if len(counts) > COUNTED:
             yield rows()
             counts.clear()
@@ -212,64 +256,52 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS, path: s
 
 
 def _predict(langs: list[str], probability: np.ndarray, path: str | None):
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(vocabulary(path))
-
-        def score_all(words: list[str]) -> list[np.ndarray]:
-            parts = [p for w in words for p in parts_of(w)]
-            firsts = np.cumsum([0, *(-(-len(w) // LONGEST) for w in words[:-1])])
-            logs = [np.log(forward(lattice, parts[at : at + SUMMED], probability)) for at in range(0, len(parts), SUMMED)]
-            if not memory:
-                known.clear()
-            known.append(np.add.reduceat(np.vstack(logs), firsts))
-            return list(range(len(memory), len(memory) + len(words)))
-
-        known: list[np.ndarray] = []  # log sums of the remembered words, in their order
-        memory = Memory(score_all)
+        memory = Memory(lambda words: [row.tobytes() for row in forward(lattice, words, probability)])
         for batch in batches:
-            words = [words_of(t) if t else [] for t in batch["text"]]
-            memory.learn(words)
-            known[:] = [np.vstack(known)] if known else []
-            lang, score = [], []
-            for own in words:
-                if not langs or not has_letter(own):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                total = known[0][[memory[w] for w in own]].sum(axis=0)
-                posterior = np.exp(total - total.max())
-                best = int(total.argmax())
-                lang.append(langs[best])
-                score.append(float(posterior[best] / posterior.sum()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang, "score": score} | {c: batch[c] for c in batch.columns if c.startswith("kept_")})
-
-    return predict
+            texts, lang, score = batch.tolist(), [], []
+            for at in range(0, len(texts), TEXTS):
+                words = [words_of(t) if t else [] for t in texts[at : at + TEXTS]]
+                if langs:
+                    memory.learn(words)
+                for own in words:
+                    if not langs or not has_letter(own):
+                        lang.append("und")
+                        score.append(0.0)
+                        continue
+                    total = np.frombuffer(b"".join(map(memory.__getitem__, own))).reshape(-1, len(langs)).sum(axis=0)
+                    posterior = np.exp(total - total.max())
+                    best = int(total.argmax())
+                    lang.append(langs[best])
+                    score.append(float(posterior[best] / posterior.sum()))
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
+
+    predict = released(predict)
+    predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    # Not deterministic as far as the optimizer is concerned, which would else predict once for each use of the result.
+    return F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = rows.mapInPandas(released(_predict(*model, path)), "doc_id string, held_out boolean, lang_pred string, score double")
-    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), _predict(*model, path)(F.col("text").cast("string")).alias("p"))
+    return scored.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, path: str | None = None) -> DataFrame:
-    """The documents whose language is identified; lang becomes the prediction."""
-    model = fit(docs, path=path)
-    label = _predict(*model, path)
-
-    def relabel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def named():
-            for b in batches:
-                yield b.rename(columns={"source": "kept_source", "n_chars": "kept_n_chars"}).assign(kept_text=b["text"], held_out=False)
-
-        for out in label(named()):
-            out = out[(out["lang_pred"] != "und") & (out["score"] >= least_score)]
-            yield pd.DataFrame({"doc_id": out["doc_id"], "text": out["kept_text"], "lang": out["lang_pred"], "source": out["kept_source"], "n_chars": out["kept_n_chars"]})
-
-    as_text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("n_chars").cast("string").alias("n_chars"))
-    kept = as_text.mapInPandas(released(relabel), "doc_id string, text string, lang string, source string, n_chars string")
-    return kept.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("n_chars", F.col("n_chars").cast("long"))
+    """The documents whose language is identified, with all their columns; lang becomes the prediction."""
+    known = docs
+    for name, kind in (("doc_id", "long"), ("lang", "string")):
+        known = known if name in docs.columns else known.withColumn(name, F.lit(None).cast(kind))
+    model = fit(known.select("doc_id", "text", "lang"), path=path)
+    found = docs.withColumn(_FOUND, _predict(*model, path)(F.col("text").cast("string")))
+    found = found.filter((F.col(_FOUND)["lang_pred"] != "und") & (F.col(_FOUND)["score"] >= least_score))
+    return found.withColumn("lang", F.col(_FOUND)["lang_pred"]).drop(_FOUND)
+
+
+#: A name that no column of the documents has.
+_FOUND = "__tessera_language"
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
