@@ -139,12 +139,12 @@ def test_parts_are_encoded_as_whole_texts():
     library, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), segments.piece_library()
     words, numbers, rng = segments.word_memory(), segments.piece_count_memory(), random.Random(7)
     for _ in range(5000):
-        text = "".join(rng.choices(["a", "B", "é", " ", "\n", "\x1c", "▁", "Σ", "'s", "<|endoftext|>", "0", "-", "́", "中", ".", "ſ"], k=rng.randint(0, 20)))
+        text = "".join(rng.choices(["a", "B", "é", " ", "\n", "\x1c", "▁", "Σ", "'s", "<|endoftext|>", "0", "-", "́", "中", ".", "ſ", ",", "|", "²", "ß", "À", "'ll", "\""], k=rng.randint(0, 20)))
         own, other = segments.word_parts(text), segments.piece_parts(text)
         words.learn([own])
         numbers.learn([other])
         ids = library.encode(text, add_special_tokens=False).ids
-        assert b"".join(words[p] for p in own) == struct.pack(f"<{len(ids)}I", *ids)
+        assert b"".join(words[p] for p in own) == struct.pack(f"<{len(ids)}I", *ids), text
         assert sum(numbers[p] for p in other) == len(pieces.encode(text))
 
 
@@ -170,7 +170,42 @@ def test_forward_sums_all_segmentations():
         return sum((p[pieces[word[:k]], 0] if word[:k] in pieces else 1e-9 if k == 1 else 0) * brute(word[k:]) for k in range(1, len(word) + 1))
 
     words = ["ab", "abb", "b", "ca", "bbb"]
-    assert np.allclose(langid.forward(lattice, words, p)[:, 0], [brute("▁" + w) for w in words], rtol=1e-12)
+    assert np.allclose(np.exp(langid.forward(lattice, words, p)[:, 0]), [brute("▁" + w) for w in words], rtol=1e-12)
+
+    def segmentations(word):  # (log probability, pieces) of each
+        if not word:
+            return [(0.0, ())]
+        return [(np.log(p[pieces.get(word[:k], -1), 0]) + lp, (pieces.get(word[:k], -1), *rest)) for k in range(1, min(3, len(word)) + 1) if word[:k] in pieces or k == 1 for lp, rest in segmentations(word[k:])]
+
+    for word in ("abb", "cabab"):
+        every = segmentations("▁" + word)
+        total = np.logaddexp.reduce([lp for lp, _ in every])
+        expected = np.zeros(len(p))
+        for lp, used in every:
+            np.add.at(expected, list(used), np.exp(lp - total))
+        assert np.allclose(langid.expected_counts(lattice, [word], np.array([0]), np.array([1.0]), p)[:, 0], expected)
+
+
+def test_words_of_any_length():
+    """A plain dynamic program in logarithms, on words of 60 and 5000 letters."""
+    pieces = {"▁a": 0, "b": 1, "ab": 2, "▁": 3, "a": 4, "bb": 5}
+    p = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 1e-7], [0.15, 0.2], [0.05, 0.1], [0.2, 0.3], [1e-9, 1e-9]])
+    lattice, rng = langid.Lattice(pieces), random.Random(1)
+    words = ["".join(rng.choices("abc", k=k)) for k in (60, 60, 3, 5000, 31, 30)]
+    for lang in (0, 1):
+        truth = []
+        for w in words:
+            sums = [0.0] + [-np.inf] * (len(w) + 1)
+            for end in range(1, len(w) + 2):
+                for start in range(max(0, end - 2), end):
+                    piece = pieces.get(("▁" + w)[start:end])
+                    if piece is not None or end == start + 1:
+                        sums[end] = np.logaddexp(sums[end], sums[start] + np.log(p[-1 if piece is None else piece, lang]))
+            truth.append(sums[-1])
+        assert np.allclose(langid.forward(lattice, words, p)[:, lang], truth, rtol=1e-9)
+        n = langid.expected_counts(lattice, words, np.full(len(words), lang), np.ones(len(words)), p)
+        sizes = np.array([2, 1, 2, 1, 1, 2, 1])
+        assert np.allclose((n[:, lang] * sizes).sum(), sum(len(w) + 1 for w in words))
 
 
 def test_nbest(spark, docs):
@@ -185,9 +220,10 @@ def test_nbest(spark, docs):
         return best[-1]
 
     for _ in range(500):
-        text = "".join(rng.choices("ab he é中", k=rng.randint(1, 12)))
+        text = "".join(rng.choices("ab he,. é中", k=rng.randint(1, 12)))
         found = next(searcher.texts([text]))
         assert [s for s, _ in found] == brute("▁" + text.replace(" ", "▁")) and len({i for _, i in found}) == len(found)
+    assert nbest.nbest(docs).filter("not round_trip").count() == 0
     back = nbest.decode(nbest.nbest(docs)).filter("rank = 1").collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(d.doc_id), d.text or "") for d in docs.collect())
 
