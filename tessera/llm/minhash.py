@@ -24,7 +24,8 @@ lost executor costs one step's tasks; superseded tables are deleted.
 
 Defined results: null texts are empty; all empty texts are copies of each other; repeated rows get
 equal classes; null ids take part like others; a class's id is its least doc_id (its least digest where
-all ids are null); other columns are ignored. Digests have 64 bits.
+all ids are null), and where one id has texts of several classes ``label`` tells these apart; other columns
+are ignored. Digests have 64 bits.
 """
 
 from __future__ import annotations
@@ -456,7 +457,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row, class_id, n_links (verified links of the row's text), copies (rows with its words) of every row."""
+    """doc_id, row, class_id, label (the class's least digest), n_links (verified links of the row's text), copies
+    (rows with its words) of every row."""
     headers, edges = links(docs, threshold)
     nodes = headers.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     ends = edges.select("node").union(edges.select("rep")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -465,16 +467,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "nodes",
     )
     firsts = stored(known.groupBy("label").agg(F.min("first").alias("class_id")), "classes")
-    named = stored(known.join(firsts, "label").select("node", F.coalesce("class_id", "label").alias("class_id"), "n_links", "copies"), "named")
-    return headers.join(named, "node").select("doc_id", "row", "class_id", "n_links", "copies")
+    named = stored(known.join(firsts, "label").select("node", F.coalesce("class_id", "label").alias("class_id"), "label", "n_links", "copies"), "named")
+    return headers.join(named, "node").select("doc_id", "row", "class_id", "label", "n_links", "copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all its columns: that with the least doc_id (null ids come last; of equal
     ids that with the least digest, of repeated rows any). Null texts are empty, and all empty texts are one class."""
-    found = stored(classes(docs, threshold).select("class_id", "doc_id", "row"), "kept")
+    found = stored(classes(docs, threshold).select("label", "doc_id", "row"), "kept")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"]
-    kept = found.groupBy("class_id").agg(first.alias("row")).select(F.col("row").alias(_KEPT)).distinct()
+    kept = found.groupBy("label").agg(first.alias("row")).select(F.col("row").alias(_KEPT)).distinct()
     keyed = docs.withColumn(_KEY, F.xxhash64(F.col("doc_id").cast("string").isNull(), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
     return keyed.join(kept, F.col(_KEY) == F.col(_KEPT), "left_semi").dropDuplicates([_KEY]).drop(_KEY)
 
@@ -484,7 +486,7 @@ _KEY, _KEPT = "__tessera_row", "__tessera_kept"
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "label")
 
 
 QUERIES = {"op9_minhash": op9_minhash}
