@@ -12,8 +12,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows an Arrow batch carries to a Python worker; a batch of ordinary documents stays near 2 MB.
-ARROW_ROWS = 512
+#: Rows an Arrow batch carries to a Python worker; a batch of ordinary documents stays near 1 MB.
+ARROW_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:

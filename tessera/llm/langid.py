@@ -40,6 +40,8 @@ FIT_DOCS, ROUNDS = 2500, 2
 SMOOTHING, FLOOR = 0.05, 1e-9
 #: Letters up to which products stay within a double's range (FLOOR ** 31 is 1e-279), and distinct words that a worker counts before it passes them on.
 PRODUCTS, COUNTED = 30, 100_000
+#: Words that a worker remembers the sums of.
+REMEMBERED = 120_000
 #: Places of all words whose sums stand in memory at once.
 PLACES = 1 << 16
 #: Texts that are looked up together.
@@ -70,7 +72,7 @@ class Lattice:
     """All segmentations of many words at once: the pieces' trie, as a plain table for the commonest letters and
     a hash table of (state, letter) for all."""
 
-    SLOTS, COMMON = 1 << 18, 63
+    SLOTS, COMMON = 1 << 18, 31
 
     def __init__(self, pieces: dict[str, int]):
         states = {"": 0}
@@ -258,7 +260,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, rounds: int = ROUNDS, path: s
 def _predict(langs: list[str], probability: np.ndarray, path: str | None):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(vocabulary(path))
-        memory = Memory(lambda words: [row.tobytes() for row in forward(lattice, words, probability)])
+        memory = Memory(lambda words: [row.tobytes() for row in forward(lattice, words, probability)], REMEMBERED)
         for batch in batches:
             texts, lang, score = batch.tolist(), [], []
             for at in range(0, len(texts), TEXTS):

@@ -51,7 +51,7 @@ CELLS, RARE = 1 << 18, 0.02
 SMALL = 16
 SEED = 20240229
 #: Digests that a task remembers so as not to sign copies again; texts whose shingles a task remembers.
-SEEN, REMEMBERED_TEXTS = 200_000, 256
+SEEN, REMEMBERED_TEXTS = 100_000, 256
 #: Characters whose words are hashed together.
 BLOCK = 1 << 18
 #: Shingles that are sampled together, and cells (shingles x samples) that stand in memory at once.
@@ -68,7 +68,7 @@ def _is_word() -> np.ndarray:
     return np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)])
 
 
-@functools.cache
+@functools.lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2^64."""
     odd = 0x9E3779B97F4A7C15
@@ -80,7 +80,7 @@ def _hashed_words(text: str) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     change = np.flatnonzero(np.diff(_is_word()[code], prepend=False, append=False))
     start, end = change[::2], change[1::2]
-    power, inverse = (x[: len(code)] for x in _powers(1 << (len(code)).bit_length()))
+    power, inverse = (x[: len(code)] for x in _powers(max(2 * BLOCK, 1 << len(code).bit_length())))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint32(1)) * power)])
     words = (sums[end] - sums[start]) * inverse[start]
     words = (words ^ words >> np.uint64(32)) * _MIX

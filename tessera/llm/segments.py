@@ -17,7 +17,7 @@ import numpy as np
 import public_tokenizers
 
 #: Parts that a worker remembers.
-REMEMBERED = 240_000
+REMEMBERED = 160_000
 
 # Unicode's White_Space characters.
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
