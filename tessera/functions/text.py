@@ -88,8 +88,9 @@ def label_source(*names: str) -> Column:
     return out
 
 
-#: Identifiers that say nothing.
-GENERIC = r"^input\d+$|^field[_-]?\d+$|^txt\d+$|^ctl\d+|ctl\d+\$|^[0-9a-f]{8,}$"
+# Patterns of identifiers that say nothing.
+_GENERIC = (r"^input\d+$", r"^field[_-]?\d+$", r"^txt\d+$", r"^ctl\d+", r"ctl\d+\$", r"^[0-9a-f]{8,}$")
+GENERIC = "|".join(_GENERIC)
 
 
 def is_generic(identifier: Column) -> Column:

@@ -24,10 +24,17 @@ def signals(controls: DataFrame) -> DataFrame:
     return controls.select("*", F.inline(F.array(made)))  # a generator: later uses read columns and do not repeat the work
 
 
+def visible(controls: DataFrame) -> DataFrame:
+    """The controls without honeypots: those that the page hides by style, size or place. Unknown is visible."""
+    traps = [c for c in ("style_hidden", "zero_size", "offscreen") if c in controls.columns]
+    return controls.filter(~F.greatest(*(F.coalesce(c, F.lit(False)) for c in [*traps, *traps]))) if traps else controls
+
+
 def wording_matches(stream: Column) -> Column:
     """The wording rules that a token stream meets, in rule order. Each pattern is a constant, compiled once."""
     hits = [F.when(stream.rlike(pattern), F.struct(F.lit(k).alias("pos"), F.lit(label).alias("label"), F.lit(weight).alias("weight"))) for k, pattern, label, weight in dims.wording_rules()]
-    return F.when(stream == "", F.array().cast(_MATCHES)).otherwise(F.array_compact(F.array(*hits)).cast(_MATCHES))
+    # Most streams meet no rule: one pattern of all phrases rules them out.
+    return F.when((stream == "") | ~stream.rlike(dims.any_wording()), F.array().cast(_MATCHES)).otherwise(F.array_compact(F.array(*hits)).cast(_MATCHES))
 
 
 def attribute_matches(columns: list[str]) -> Column:

@@ -125,7 +125,7 @@ _PREDICT = f"""{C},
                  CASE WHEN undetectable_reason IS NULL AND won.label IS NOT NULL THEN won.tier ELSE 'none' END AS tier FROM s LEFT JOIN won USING (selector))"""
 _UNLABELED = "coalesce(label_for, label_ancestor, aria_label, aria_labelledby_text) IS NULL"
 _FOUND = f"""{_PREDICT},
-    q AS (SELECT p.*, declared_as, (token, p.label) IN (SELECT (declared, inferred) FROM {_AGREE}) AS agrees FROM p LEFT JOIN {_ADVICE} ON p.label = advice.label),
+    q AS (SELECT p.*, declared_as, (token, p.label) IN (SELECT (declared, inferred) FROM {_AGREE}) AS agrees FROM p LEFT JOIN {_ADVICE} ON p.label = advice.label WHERE NOT (style_hidden OR zero_size OR offscreen)),
     pr AS (SELECT *, CASE
           WHEN undetectable_reason IS NOT NULL THEN 'UNDETECTABLE_FIELD'
           WHEN is_off AND label NOT IN ('UNKNOWN', 'NOT_AUTOFILLABLE') THEN 'AUTOCOMPLETE_OFF'
@@ -139,7 +139,7 @@ _FOUND = f"""{_PREDICT},
             UNION ALL SELECT selector, 'GENERIC_IDENTIFIER' FROM pr WHERE undetectable_reason IS NULL AND (regexp_matches(lower(name), '{T.GENERIC}') OR regexp_matches(lower(element_id), '{T.GENERIC}'))
             UNION ALL SELECT selector, 'WRONG_INPUT_TYPE' FROM pr JOIN {_WANTED} ON pr.label = wanted.label WHERE undetectable_reason IS NULL AND coalesce(input_type, '') <> value AND coalesce(inputmode, '') <> value
             UNION ALL SELECT selector, 'MISSING_NAME_ATTR' FROM pr WHERE undetectable_reason IS NULL AND form_key IS NOT NULL AND name IS NULL),
-    found AS (SELECT pr.page_id, pr.document_index, pr.selector, pr.label, x.code, kind.severity, kind.severity_rank
+    found AS (SELECT pr.page_id, pr.document_index, pr.selector, pr.label, pr.token, pr.autocomplete_raw, pr.confidence, pr.declared_as, x.code, kind.severity, kind.severity_rank
               FROM (SELECT selector, code FROM pr UNION ALL SELECT selector, code FROM sec) x JOIN pr USING (selector) JOIN {_FINDING} ON x.code = kind.code)"""
 
 
@@ -147,8 +147,12 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.predict(rules.signals(feeds.feed_controls(spark, sf_dir)))
 
 
+def _visible_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.predict(rules.signals(rules.visible(feeds.feed_controls(spark, sf_dir))))
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.findings(_predicted(spark, sf_dir))
+    return decide.findings(_visible_predicted(spark, sf_dir))
 
 
 @query(f"WITH {C} SELECT selector, CASE WHEN count(*) = 1 THEN min(label) END AS label, CAST(count(*) AS INT) AS n_matches FROM c JOIN {_INTRINSIC} ON input_type = value GROUP BY 1")
@@ -180,12 +184,12 @@ def rule_runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FOUND} SELECT selector, label, code FROM pr WHERE code IS NOT NULL")
 def primary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _predicted(spark, sf_dir).withColumn("code", decide.primary(*dims.THRESHOLDS["rules"])).filter("code is not null").select("selector", "label", "code")
+    return _visible_predicted(spark, sf_dir).withColumn("code", decide.primary(*dims.RULE_THRESHOLDS)).filter("code is not null").select("selector", "label", "code")
 
 
 @query(f"WITH {_FOUND} SELECT selector, code FROM sec WHERE code IS NOT NULL")
 def secondary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _predicted(spark, sf_dir).withColumn("primary", decide.primary(*dims.THRESHOLDS["rules"]))
+    p = _visible_predicted(spark, sf_dir).withColumn("primary", decide.primary(*dims.RULE_THRESHOLDS))
     return p.select("selector", F.explode(decide.secondary()).alias("code"))
 
 
@@ -200,6 +204,15 @@ def findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).select("page_id", "selector", "code", F.row_number().over(order).alias("finding_ordinal"))
 
 
+@query(f"""WITH {_FOUND}, fix(code, said) AS {dims.values_sql(list(dims.FIXES.items()), "x(code, said)").replace("(VALUES", "(SELECT * FROM (VALUES") + ")"}
+           SELECT selector, found.code, replace(replace(replace(replace(said, '{{wanted}}', CASE WHEN confidence >= 0.7 THEN coalesce(declared_as, '{dims.OPEN}') ELSE '{dims.OPEN}' END),
+                  '{{declared}}', coalesce(token, '')), '{{raw}}', coalesce(autocomplete_raw, '')), '{{selector}}', selector) AS fix
+           FROM found JOIN fix ON found.code = fix.code""")
+def finding_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do about each finding, in words."""
+    return _findings(spark, sf_dir).select("selector", "code", "fix")
+
+
 @query(f"""WITH {_FOUND}, rule(ordinal, code, sel, reason) AS (VALUES (0, 'GENERIC_IDENTIFIER', NULL, 'legacy names'), (1, 'MISSING_AUTOCOMPLETE', '#c8', 'by design'), (2, 'GENERIC_IDENTIFIER', '#c18', 'never reached'))
            SELECT page_id, found.selector, found.code, (SELECT reason FROM rule WHERE rule.code = found.code AND (sel IS NULL OR sel = found.selector) ORDER BY ordinal LIMIT 1) AS suppressed_by
            FROM found WHERE found.code IN ('GENERIC_IDENTIFIER', 'MISSING_AUTOCOMPLETE')""")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.decide import findings
-from tessera.operators.rules import predict, signals
+from tessera.operators.rules import predict, signals, visible
 
 
-def audit(controls: DataFrame, engine: str = "rules") -> DataFrame:
-    """Findings of controls; the same plan for tables and micro-batches."""
-    return findings(predict(signals(controls)), engine)
+def audit(controls: DataFrame, honeypots: bool = False) -> DataFrame:
+    """Findings of controls, of honeypots only on request; the same plan for tables and micro-batches."""
+    return findings(predict(signals(controls if honeypots else visible(controls))))
 
 
 def audit_stream(spark: SparkSession, path: str, schema, out: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df):
