@@ -97,6 +97,21 @@ def _phones(text: str):
             yield m.span()
 
 
+def _ibans(text: str):
+    """The longest run of whole groups that mod 97 confirms; words behind an IBAN are groups too at first."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        ends = [k for k in range(m.end(), m.start() + 14, -1) if k == m.end() or text[k] == " "]
+        end = next((k for k in ends if len(own := text[m.start() : k].replace(" ", "")) >= 15 and mod97(own)), None)
+        if end:
+            yield m.start(), end
+        at = end or m.start() + 4
+
+
+def _imeis(text: str):
+    return (m.span() for m in _IMEI.finditer(text) if luhn(m[0]))
+
+
 def _score(text: str, kind: str, start: int) -> float:
     near = {w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT_CHARS) : start])}
     return round(min(1.0, BASE_SCORE[kind] + CONTEXT_BONUS * (not near.isdisjoint(CONTEXT[kind]))), 3)
@@ -113,15 +128,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
         base = sorted((a, b) for _, a, b in found)
         starts, ends = [a for a, _ in base], sorted(b for _, b in base)
         clear = lambda a, b: bisect_left(starts, b) == bisect_left(ends, a + 1)  # noqa: E731  no base span overlaps
-        for kind, pattern in (("iban", _IBAN), ("imei", _IMEI), ("national_id", _NATIONAL), ("phone_local", _LOCAL_PHONE), ("birth_date", _DATE)):
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                if not clear(a, b):
-                    continue
-                if kind == "iban" and not mod97(m[0].replace(" ", "")) or kind == "imei" and not luhn(m[0]):
-                    continue
-                if _score(text, kind, a) >= THRESHOLD:
-                    found.append((kind, a, b))
+        for kind, search in (("iban", _ibans), ("imei", _imeis)):  # what a checksum confirms may overlap base spans
+            found += [(kind, a, b) for a, b in search(text) if _score(text, kind, a) >= THRESHOLD]
+        for kind, pattern in (("national_id", _NATIONAL), ("phone_local", _LOCAL_PHONE), ("birth_date", _DATE)):
+            found += [(kind, *m.span()) for m in pattern.finditer(text) if clear(*m.span()) and _score(text, kind, m.start()) >= THRESHOLD]
     return [(kind, a, b, _score(text, kind, a)) for kind, a, b in found]
 
 
