@@ -57,13 +57,13 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str | None =
     headers = stored(rows.drop("content"), "headers")
 
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    cached = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
+    cached = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # noqa: E731  (appends that met or were repeated)
     missing = headers.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(cached(), "digest", "left_anti")
     same = rows["digest"].eqNullSafe(F.col("m.digest")) & rows["doc_id"].eqNullSafe(F.col("m.doc_id"))
     to_encode = rows.join(missing.alias("m"), same, "left_semi").select("digest", "content")
     encoded = to_encode.mapInPandas(released(_counter(path)), "digest binary, n_tokens long")
     encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    return headers.join(cached().select("digest", "n_tokens"), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    return headers.join(cached(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
