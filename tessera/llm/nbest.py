@@ -36,6 +36,8 @@ PENALTY = 10.0
 START = "▁"
 #: Parts that a worker remembers with their n best.
 SEARCHED = 20_000
+#: Parts that a worker remembers with their best.
+REMEMBERED = 280_000
 
 
 class Pieces:
@@ -181,7 +183,7 @@ class Searcher:
 
     def __init__(self, n: int = N, path: str | None = None):
         self.n, self.pieces = n, Pieces(path)
-        self.memory = Memory(lambda parts: self._blocks(parts, self.pieces.best))
+        self.memory = Memory(lambda parts: self._blocks(parts, self.pieces.best), REMEMBERED)
         self.searched = Memory(lambda parts: self._blocks(parts, lambda block: self.pieces.nbest(block, n)), SEARCHED)
 
     @staticmethod

@@ -52,6 +52,15 @@ def test_pii_checksums_and_context():
     assert len(pii.find_spans("1" * 200_000)) == 0  # linear in a long run
 
 
+def test_ibans_before_words_and_beside_cards():
+    kinds = lambda text: [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text)]
+    assert ("iban", "GB82WEST12345698765432") in kinds("IBAN GB82WEST12345698765432 OK")
+    assert ("iban", "GB82 WEST 1234 5698 7654 32") in kinds("IBAN GB82 WEST 1234 5698 7654 32 AND MORE")
+    assert [x for k, x in kinds("IBAN GB82WEST12345698765432 DE89370400440532013000") if k == "iban"] == ["GB82WEST12345698765432", "DE89370400440532013000"]
+    assert not [k for k, _ in kinds("IBAN GB83WEST12345698765432 OK") if k == "iban"]
+    assert [k for k, _ in kinds("IMEI 490154203237518")] == ["card", "imei"]
+
+
 def test_pii_query(spark, docs):
     rows = pii.with_spans(docs).collect()
     assert len(rows) == docs.count() and all([tuple(s)[:3] for s in r.pii_spans if s.kind in pii.BASE_KINDS] == base_spans(r.text or "") for r in rows)
