@@ -18,6 +18,8 @@ import public_tokenizers
 
 #: Parts that a worker remembers.
 REMEMBERED = 160_000
+#: Words that a worker remembers the ids of.
+REMEMBERED_WORDS = 360_000
 
 # Unicode's White_Space characters.
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -95,7 +97,7 @@ def word_memory(path: str | None = None) -> Memory:
         found = dict(zip(plain, encode_words(plain), strict=True)) | dict(zip(rest, encode_each(rest), strict=True))
         return [found[p] for p in parts]
 
-    return Memory(encode_all)
+    return Memory(encode_all, REMEMBERED_WORDS)
 
 
 # No piece has one of these signs after a letter (piece_library makes sure).
