@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import released, stored, table
-from tessera.llm.segments import word_memory, word_parts
+from tessera.llm.segments import REMEMBERED_WORDS, word_memory, word_parts
 
 CAPACITY, END = 2048, b"\0\0\0\0"
 #: Pieces that one salted rank group holds on average at most, and the fewest groups of a length.
@@ -42,9 +42,9 @@ TEXTS = 64
 BROADCAST_RUNS = 200_000
 
 
-def _cutter(path: str, capacity: int):
+def _cutter(path: str, capacity: int, remembered: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = word_memory(path)
+        memory = word_memory(path, remembered)
         for batch in batches:
             rows = []
             for at in range(0, len(batch), TEXTS):
@@ -61,12 +61,12 @@ def _cutter(path: str, capacity: int):
     return cut
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, remembered: int = REMEMBERED_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every piece."""
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     schema = "doc_id string, piece int, start long, length long, ids binary"
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))  # pandas has no null integers
-    return rows.mapInPandas(released(_cutter(path, capacity)), schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(released(_cutter(path, capacity, remembered)), schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sweep(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -136,9 +136,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: st
     return pack(stored(token_pieces(docs, capacity, tokenizer_path), "pieces"), capacity)
 
 
-def packed_digests(docs: DataFrame) -> DataFrame:
-    """Packed pieces with a checksum in place of their ids."""
-    pieces = token_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+def packed_digests(docs: DataFrame, remembered: int = REMEMBERED_WORDS) -> DataFrame:
+    """Packed pieces with a checksum in place of their ids; ``remembered``: words that a worker remembers."""
+    pieces = token_pieces(docs, remembered=remembered).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(stored(pieces, "pieces"))
 
 

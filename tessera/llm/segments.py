@@ -65,7 +65,7 @@ def word_parts(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def word_memory(path: str | None = None) -> Memory:
+def word_memory(path: str | None = None, remembered: int = REMEMBERED_WORDS) -> Memory:
     """Part to its ids as little-endian unsigned 32-bit numbers."""
     from tokenizers import Tokenizer
 
@@ -97,7 +97,7 @@ def word_memory(path: str | None = None) -> Memory:
         found = dict(zip(plain, encode_words(plain), strict=True)) | dict(zip(rest, encode_each(rest), strict=True))
         return [found[p] for p in parts]
 
-    return Memory(encode_all, REMEMBERED_WORDS)
+    return Memory(encode_all, remembered)
 
 
 # No piece has one of these signs after a letter (piece_library makes sure).
