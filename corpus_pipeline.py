@@ -32,7 +32,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each token piece of the documents lies in the packed sequences."""
-    return packed_digests(docs)
+    return packed_digests(docs, remembered=160_000)  # the workers still hold what earlier stages imported
 
 
 STAGES = [
