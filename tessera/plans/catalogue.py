@@ -272,27 +272,86 @@ def form_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- groups and options -----------------------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {_PREDICT.replace('WITH ', '')},
-    h AS (SELECT page_id, document_index, selector, parent_key, CASE WHEN undetectable_reason IS NOT NULL THEN NULL WHEN regexp_matches(label_stream || ' ' || identifier_stream, 'month|monat|mois') THEN 'month'
-                 WHEN regexp_matches(label_stream || ' ' || identifier_stream, 'year|jahr') THEN 'year' END AS half,
-                 row_number() OVER (PARTITION BY page_id ORDER BY document_index) AS nth FROM s),
-    e AS (SELECT a.page_id, a.nth, coalesce(a.half <> b.half AND a.parent_key = b.parent_key, false) AS edge FROM h a LEFT JOIN h b ON a.page_id = b.page_id AND b.nth = a.nth + 1),
-    g AS (SELECT page_id, nth, edge AS starts FROM e WHERE nth = 1
-          UNION ALL SELECT e.page_id, e.nth, e.edge AND NOT g.starts FROM g JOIN e ON e.page_id = g.page_id AND e.nth = g.nth + 1)
-    SELECT h.selector, h.half AS expiry_role FROM h LEFT JOIN g a ON a.page_id = h.page_id AND a.nth = h.nth LEFT JOIN g b ON b.page_id = h.page_id AND b.nth = h.nth - 1
-    WHERE a.starts OR b.starts""")
+def _half_sql(words: tuple[str, ...], *lists: str) -> str:
+    named = f"regexp_matches(label_stream || ' ' || identifier_stream, '{'|'.join(words)}')"
+    listed = ", ".join(f"'{x}'" for x in lists)
+    return f"CASE WHEN tag = 'select' THEN coalesce(option_text IN ({listed}), false) ELSE tag = 'input' AND coalesce(input_type, 'text') IN ('text', 'number', 'tel') AND {named} END"
+
+
+_MONTHS = ("01|02|03|04|05|06|07|08|09|10|11|12", "1|2|3|4|5|6|7|8|9|10|11|12")
+_TRAP = "(style_hidden OR zero_size OR offscreen)"
+
+
+def _groups_sql(kept: str = "true") -> str:
+    """CTEs to ``pairs`` (selector, expiry_role, pair) and ``runs`` (selector, address_run) of the controls that are ``kept``."""
+    words, ordinals = (", ".join(f"'{w}'" for w in own) for own in (dims.ADDRESS_WORDS, dims.ORDINALS))
+    split = "string_split(label_stream || ' ' || identifier_stream, ' ')"
+    return f"""WITH RECURSIVE {_PREDICT},
+    h AS (SELECT *, {_half_sql(dims.MONTH_WORDS, *_MONTHS)} AS m, {_half_sql(dims.YEAR_WORDS, '2026|2027|2028|2029')} AS y,
+                 coalesce(token IN ('address-line1', 'address-line2', 'address-line3'), false) OR tag = 'input' AND coalesce(input_type, 'text') = 'text' AND list_has_any({split}, [{words}]) AND list_has_any({split}, [{ordinals}]) AS line,
+                 row_number() OVER (PARTITION BY page_id ORDER BY document_index) AS nth FROM s WHERE undetectable_reason IS NULL AND {kept}),
+    e AS (SELECT a.page_id, a.nth, coalesce(a.m AND b.y, false) AS forth,
+                 coalesce((a.fieldset_key = b.fieldset_key OR a.parent_key = b.parent_key) AND 'select' IN (a.tag, b.tag) AND (a.m AND b.y OR a.y AND b.m), false) AS edge
+          FROM h a LEFT JOIN h b ON a.page_id = b.page_id AND b.nth = a.nth + 1),
+    g AS (SELECT page_id, nth, edge AS starts, CAST(edge AS INT) AS pair, CASE WHEN line THEN 1 ELSE 0 END AS long, document_index AS head, form_key
+          FROM e JOIN h USING (page_id, nth) WHERE nth = 1
+          UNION ALL
+          SELECT e.page_id, e.nth, e.edge AND NOT g.starts, g.pair + CAST(e.edge AND NOT g.starts AS INT),
+                 CASE WHEN NOT h.line THEN 0 WHEN g.long BETWEEN 1 AND 2 AND g.form_key IS NOT DISTINCT FROM h.form_key THEN g.long + 1 ELSE 1 END,
+                 CASE WHEN h.line AND g.long BETWEEN 1 AND 2 AND g.form_key IS NOT DISTINCT FROM h.form_key THEN g.head ELSE h.document_index END, h.form_key
+          FROM g JOIN e ON e.page_id = g.page_id AND e.nth = g.nth + 1 JOIN h ON h.page_id = e.page_id AND h.nth = e.nth),
+    pairs AS (SELECT h.selector, h.page_id, h.document_index, CASE WHEN a.starts = ea.forth AND a.starts THEN 'month' WHEN a.starts THEN 'year' WHEN eb.forth THEN 'year' ELSE 'month' END AS expiry_role, a.pair
+              FROM h JOIN g a USING (page_id, nth) JOIN e ea USING (page_id, nth) LEFT JOIN g b ON b.page_id = h.page_id AND b.nth = h.nth - 1 LEFT JOIN e eb ON eb.page_id = h.page_id AND eb.nth = h.nth - 1
+              WHERE a.starts OR b.starts),
+    runs AS (SELECT h.selector, h.page_id, g.head AS address_run FROM h JOIN g USING (page_id, nth) WHERE g.long > 0 QUALIFY count(*) OVER (PARTITION BY h.page_id, g.head) >= 2)"""
+
+
+def _kept_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.detect_groups(rules.signals(rules.visible(feeds.feed_controls(spark, sf_dir))))
+
+
+@query(_groups_sql() + " SELECT selector, expiry_role, pair FROM pairs")
 def expiry_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = rules.signals(feeds.feed_controls(spark, sf_dir))
-    return groups.expiry_pairs(s).filter("expiry_role is not null").select("selector", "expiry_role")
+    return groups.expiry_pairs(s).filter("expiry_role is not null").select("selector", "expiry_role", "pair")
 
 
-@query()
+@query(_groups_sql() + " SELECT page_id, selector, address_run FROM runs")
 def address_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = rules.signals(feeds.feed_controls(spark, sf_dir))
     return groups.address_runs(s).filter("address_run is not null").select("page_id", "selector", "address_run")
 
 
-@query(f"WITH {C} SELECT selector, min(document_index) OVER (PARTITION BY page_id, form_key, input_type, name) AS choice_group FROM c WHERE input_type IN ('radio', 'checkbox') AND name IS NOT NULL QUALIFY count(*) OVER (PARTITION BY page_id, form_key, input_type, name) >= 2")
+_ROLES = _groups_sql(f"NOT {_TRAP}") + """,
+    ch AS (SELECT selector, page_id, input_type, min(document_index) OVER (PARTITION BY page_id, form_key, input_type, name) AS head FROM h
+           WHERE input_type IN ('radio', 'checkbox') AND name IS NOT NULL QUALIFY count(*) OVER (PARTITION BY page_id, form_key, input_type, name) >= 2),
+    cn AS (SELECT selector, input_type, input_type || '-' || dense_rank() OVER (PARTITION BY page_id, input_type ORDER BY head) AS number FROM ch),
+    rn AS (SELECT selector, 'address-lines-' || dense_rank() OVER (PARTITION BY page_id ORDER BY address_run) AS number FROM runs),
+    roles AS (SELECT h.page_id, h.document_index, h.selector, h.token, coalesce('cc_exp_' || pairs.expiry_role, cn.input_type || '_member', CASE WHEN rn.number IS NOT NULL THEN 'address_line_member' END) AS group_role,
+                     coalesce('expiry-' || pairs.pair, cn.number, rn.number) AS group_id
+              FROM h LEFT JOIN pairs USING (selector) LEFT JOIN cn USING (selector) LEFT JOIN rn USING (selector))"""
+
+
+@query(_ROLES + " SELECT selector, group_role, group_id FROM roles WHERE group_role IS NOT NULL")
+def group_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All groups of a page's visible controls, each control in one at most."""
+    return _kept_groups(spark, sf_dir).filter("group_role is not null").select("selector", "group_role", "group_id")
+
+
+@query(_ROLES + """ SELECT selector, CASE WHEN group_role = 'cc_exp_month' THEN 'CC_EXP_SPLIT_MONTH' WHEN group_role = 'cc_exp_year' THEN 'CC_EXP_SPLIT_YEAR' ELSE p.label END AS label,
+    CASE WHEN group_role LIKE 'cc_exp%' THEN 'intrinsic' ELSE p.tier END AS tier, group_role FROM roles JOIN p USING (selector) WHERE group_role IS NOT NULL""")
+def grouped_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification of grouped controls; the half of an expiry counts as a statement of the control itself."""
+    return rules.predict(_kept_groups(spark, sf_dir)).filter("group_role is not null").select("selector", "label", "tier", "group_role")
+
+
+@query(_ROLES + """ SELECT page_id, min_by(selector, document_index) AS selector, group_id FROM roles WHERE group_role LIKE 'cc_exp%'
+    GROUP BY page_id, group_id HAVING bool_or(coalesce(token, '') <> CASE group_role WHEN 'cc_exp_month' THEN 'cc-exp-month' ELSE 'cc-exp-year' END)""")
+def split_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.split_findings(_kept_groups(spark, sf_dir)).select("page_id", "selector", "group_id")
+
+
+@query(f"WITH {C} SELECT selector, min(document_index) OVER (PARTITION BY page_id, form_key, input_type, name) AS choice_group FROM c WHERE input_type IN ('radio', 'checkbox') AND name IS NOT NULL AND undetectable_reason IS NULL QUALIFY count(*) OVER (PARTITION BY page_id, form_key, input_type, name) >= 2")
 def choice_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.choice_groups(feeds.feed_controls(spark, sf_dir)).filter("choice_group is not null").select("selector", "choice_group")
 

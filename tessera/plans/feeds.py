@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _pick(key: str, *values: str | None) -> str:
@@ -36,6 +39,7 @@ CONTROLS = f"""
            {_pick("(o_orderkey * 37)", None, "Payment", "Delivery address", "Your account")} AS section_heading,
            {_pick("(o_orderkey * 11 + 4)", *_DECLARED)} AS autocomplete_raw,
            CAST(CASE o_orderkey % 9 WHEN 0 THEN 5 WHEN 1 THEN 40 END AS INT) AS maxlength,
+           CASE WHEN o_orderkey % 7 = 2 THEN CASE o_orderkey % 4 WHEN 0 THEN '01|02|03|04|05|06|07|08|09|10|11|12' WHEN 1 THEN '2026|2027|2028|2029' WHEN 2 THEN '1|2|3|4|5|6|7|8|9|10|11|12' ELSE '|AT|CH|DE' END END AS option_text,
            CASE o_orderkey % 41 WHEN 7 THEN 'closed_shadow_root' WHEN 19 THEN 'cross_origin_frame' END AS undetectable_reason,
            o_orderkey % 23 = 5 AS style_hidden, o_orderkey % 29 = 11 AS zero_size, o_orderkey % 31 = 13 AS offscreen,
            '#c' || CAST(o_orderkey AS VARCHAR(20)) AS selector,
@@ -63,21 +67,25 @@ OPTIONS = """
 """
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Given tables by name."""
+    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names}
+
+
+def prepared(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """The SQL over given tables, which are bound to this query and leave the session's views alone."""
     for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
+    return spark.sql(sql, **tables(spark, sf_dir, *names))
 
 
 def feed_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "orders")
-    return spark.sql(CONTROLS)
+    return prepared(spark, sf_dir, CONTROLS, "orders").withColumn("option_values", F.split("option_text", r"\|"))
 
 
 def feed_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "documents", "labels")
-    return spark.sql(RUNLOG)
+    return prepared(spark, sf_dir, RUNLOG, "documents", "labels")
 
 
 def feed_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "part")
-    return spark.sql(OPTIONS)
+    return prepared(spark, sf_dir, OPTIONS, "part")

@@ -77,22 +77,81 @@ def test_identifier_noise_goes_and_repeats_stay(spark):
     assert row[0] == ["email", "email"]
 
 
+MONTHS, YEARS = [f"{m:02}" for m in range(1, 13)], ["2026", "2027", "2028"]
+
+
+def with_options(spark, *rows):
+    """Controls with signals, option values and fieldsets."""
+    more = spark.createDataFrame([(k, r.get("option_values"), r.get("fieldset_key")) for k, r in enumerate(rows)], "document_index int, option_values array<string>, fieldset_key string")
+    return rules.signals(controls(spark, *rows).join(more, "document_index"))
+
+
 def test_expiry_pairs_are_greedy(spark):
-    words = [random.Random(4).choice(["Month", "Year", "City"]) for _ in range(3)] and random.Random(4).choices(["Month", "Year", "City"], k=40)
-    found = groups.expiry_pairs(rules.signals(controls(spark, *(dict(label_for=w) for w in words)))).filter("starts").select("document_index").collect()
+    kinds = random.Random(4).choices(["month", "year", "city"], k=40)
+    rows = [dict(tag="select", option_values={"month": MONTHS, "year": YEARS, "city": ["Ulm"]}[k]) for k in kinds]
+    found = groups.expiry_pairs(with_options(spark, *rows)).filter("starts").select("document_index").collect()
     expected, k = set(), 0
-    while k < len(words) - 1:
-        if {words[k], words[k + 1]} == {"Month", "Year"}:
+    while k < len(kinds) - 1:
+        if {kinds[k], kinds[k + 1]} == {"month", "year"}:
             expected.add(k)
             k += 1
         k += 1
     assert {r[0] for r in found} == expected
 
 
-def test_address_runs_break_after_three(spark):
-    rows = [dict(label_for="Address line")] * 5 + [dict(label_for="City")] + [dict(label_for="Street")]
+def test_expiry_pairs_need_a_select_and_a_common_parent(spark):
+    month, text = dict(tag="select", option_values=MONTHS), dict(label_for="Expiry year")
+    cases = [
+        ([month, text], ["month", "year"]),
+        ([text, month], ["year", "month"]),
+        ([dict(label_for="Expiry month"), text], [None, None]),
+        ([month, text | {"parent_key": "q"}], [None, None]),
+        ([month | {"fieldset_key": "s"}, text | {"parent_key": "q", "fieldset_key": "s"}], ["month", "year"]),
+        ([month, dict(undetectable_reason="closed_shadow_root"), text], ["month", None, "year"]),
+        ([month, text | {"input_type": "email"}], [None, None]),
+    ]
+    for rows, roles in cases:
+        found = groups.expiry_pairs(with_options(spark, *rows)).orderBy("document_index").collect()
+        assert [r.expiry_role for r in found] == roles, rows
+
+
+def test_address_runs_break_after_three_and_with_the_form(spark):
+    line = dict(label_for="Address line 1")
+    rows = [line] * 5 + [dict(label_for="City 1"), dict(label_for="Street")] + [line, line | {"form_key": "g"}, dict(autocomplete_raw="address-line2", form_key="g", tag="textarea"), line | {"input_type": "tel", "form_key": "g"}]
     found = groups.address_runs(rules.signals(controls(spark, *rows))).orderBy("document_index").collect()
-    assert [r.address_run for r in found] == [0, 0, 0, 3, 3, None, None]
+    assert [r.address_run for r in found] == [0, 0, 0, 3, 3, None, None, None, 8, 8, None]
+
+
+def test_groups_take_precedence_and_split_expiries_are_found_once(spark):
+    rows = [
+        dict(tag="select", option_values=MONTHS, autocomplete_raw="cc-exp-month"),
+        dict(label_for="Expiry year", autocomplete_raw="cc-exp-year"),
+        dict(label_for="City"),
+        dict(tag="select", option_values=YEARS),
+        dict(label_for="Expiry month", input_type="text"),
+        dict(input_type="radio", name="plan"),
+        dict(input_type="radio", name="plan"),
+        dict(input_type="radio", name="plan", undetectable_reason="closed_shadow_root"),
+        dict(label_for="Address line 1"),
+        dict(label_for="Address line 2"),
+    ]
+    grouped = groups.detect_groups(with_options(spark, *rows))
+    found = grouped.orderBy("document_index").collect()
+    assert [r.group_id for r in found] == ["expiry-1", "expiry-1", None, "expiry-2", "expiry-2", "radio-1", "radio-1", None, "address-lines-1", "address-lines-1"]
+    assert [(r.code, r.selector, r.group_id) for r in decide.split_findings(grouped).collect()] == [("SPLIT_FIELD", "#s3", "expiry-2")]
+    labels = {r.document_index: r.label for r in rules.predict(grouped).collect()}
+    assert labels[3] == "CC_EXP_SPLIT_YEAR" and labels[4] == "CC_EXP_SPLIT_MONTH"
+
+
+def test_page_findings_and_key_mismatches(spark):
+    pages = spark.createDataFrame([(1, "u", True), (2, "v", None)], "page_id long, url string, incomplete boolean")
+    canvases = spark.createDataFrame([(1, "#a"), (1, "#b"), (2, "#a")], "page_id long, selector string")
+    audited = spark.createDataFrame([(1, "#a")], "page_id long, selector string")
+    found = decide.page_findings(pages, canvases, audited).collect()
+    assert sorted((r.page_id, r.code, r.selector) for r in found) == [(1, "EXTRACTION_INCOMPLETE", "u"), (1, "UNDETECTABLE_FIELD", "#b"), (2, "UNDETECTABLE_FIELD", "#a")]
+    p = rules.predict(rules.signals(controls(spark, dict(input_type="email"), dict(input_type="tel"))))
+    key = spark.createDataFrame([(1, "#s0", "email"), (1, "#s1", "email"), (1, "#none", "tel")], "page_id long, selector string, expected string")
+    assert [(r.selector, r.label) for r in decide.key_mismatches(p, key).collect()] == [("#s1", "tel")]
 
 
 def test_metrics_against_plain_python(spark):
