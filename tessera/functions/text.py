@@ -119,3 +119,11 @@ def word_ngrams(text: Column) -> Column:
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+
+
+def bucket(value: Column, bounds: tuple[int, ...]) -> Column:
+    """The name of the range between two bounds that a whole number lies in: '0', '1to2', ... '65plus'; null stays null."""
+    name = F.lit(f"{bounds[-1]}plus")
+    for below, bound in reversed(list(zip((0, *bounds), bounds))):
+        name = F.when(value < bound, str(below) if bound - 1 <= below else f"{below}to{bound - 1}").otherwise(name)
+    return F.when(value.isNotNull(), name)

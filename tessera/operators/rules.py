@@ -62,19 +62,44 @@ def verdict(matches: Column, tier: str) -> Column:
     return F.get(F.transform(F.filter(F.array(matches), lambda f: F.size(f) > 0), decide), F.lit(0))
 
 
-def predict(controls: DataFrame) -> DataFrame:
-    """Controls (with signals) and label, confidence, tier, runner_up. A later tier is evaluated only where the earlier ones
-    leave a control open; blind spots are UNKNOWN at 0."""
+def _steps(controls: DataFrame) -> list[tuple[str, Column]]:
+    """The tiers in order with the rules that a control meets there."""
     label = F.when(F.col("label_source") == "placeholder", F.lit("")).otherwise(F.col("label_stream"))
     placeholder = F.when(F.col("label_source") == "placeholder", F.col("label_stream")).otherwise(F.lit(""))
-    steps = [
+    return [
         ("intrinsic", attribute_matches(controls.columns)),
         ("label", wording_matches(label)),
         ("identifier", wording_matches(F.col("identifier_stream"))),
         ("placeholder", wording_matches(placeholder)),
         ("context", wording_matches(F.col("context_stream"))),
     ]
+
+
+def with_evidence(predicted: DataFrame) -> DataFrame:
+    """Predictions and signals: tier:label of every rule met up to the deciding tier, in rule order, each once."""
+    steps = _steps(predicted)
+    names = [tier for tier, _ in steps]
+    last = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col("tier")), F.lit(0).cast("long")), F.lit(len(names)))
+
+    def named(tier: str, found: Column) -> Column:
+        return F.transform(found, lambda m: F.concat(F.lit(f"{tier}:"), m["label"]))
+
+    none = F.array().cast("array<string>")
+    met = F.flatten(F.array(*(F.when(last > k, named(tier, found)).otherwise(none) for k, (tier, found) in enumerate(steps))))
+    blind = F.array(F.concat(F.lit("undetectable:"), F.col("undetectable_reason")))
+    return predicted.withColumn("signals", F.when(F.col("undetectable_reason").isNotNull(), blind).otherwise(F.array_distinct(met)))
+
+
+def shown(signals: Column, most: int = 6) -> Column:
+    """The first signals in words, and how many more there are."""
+    more = F.when(F.size(signals) > most, F.concat(F.lit(" and "), (F.size(signals) - most).cast("string"), F.lit(" more"))).otherwise("")
+    return F.concat(F.array_join(F.slice(signals, 1, most), ", "), more)
+
+
+def predict(controls: DataFrame) -> DataFrame:
+    """Controls (with signals) and label, confidence, tier, runner_up. A later tier is evaluated only where the earlier ones
+    leave a control open; blind spots are UNKNOWN at 0."""
     nothing = F.struct(F.lit("UNKNOWN").alias("label"), F.lit(0.0).alias("confidence"), F.lit("none").alias("tier"), F.lit(None).cast("string").alias("runner_up"))
-    found = F.coalesce(*(verdict(matches, tier) for tier, matches in steps), nothing)
+    found = F.coalesce(*(verdict(matches, tier) for tier, matches in _steps(controls)), nothing)
     made = F.when(F.col("undetectable_reason").isNotNull(), nothing).otherwise(found)
     return controls.select("*", F.inline(F.array(made)))  # as in signals()

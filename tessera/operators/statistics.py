@@ -34,6 +34,47 @@ def null_distribution(rows: DataFrame, cluster: str, first: str, second: str) ->
     return met.groupBy("mask").agg((F.sum(F.when(swap, F.col("a") - F.col("b")).otherwise(F.col("b") - F.col("a"))) / F.sum("n")).alias("difference"))
 
 
+def macro_f1_null(rows: DataFrame, cluster: str, first: str, second: str, slices: dict[str, Column]) -> DataFrame:
+    """slice, mask, first_score, second_score, n_clusters: macro-F1 of both engines under each swap of whole clusters, per slice.
+
+    Macro-F1 is no sum, but the counts by label that it is made of are: rows are counted once by slice, cluster and label, and the
+    masks meet those counts. Labels that neither the truth nor the engine names take no part in its mean. Clusters of a slice are
+    numbered within it; every swap is tried while there are at most EXHAUSTIVE, else SAMPLED drawn by a hash.
+    """
+    inside = F.array_compact(F.array(*(F.when(kept, F.lit(name)) for name, kept in slices.items())))
+    hit = (F.col("true_label") == F.col("pred_label")).cast("long")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("true_label").alias("label"), hit.alias("tp"), one.alias("w")), F.struct(F.col("pred_label").alias("label"), none.alias("tp"), one.alias("w")))
+    used = rows.filter(F.col("engine").isin(first, second)).select(F.col(cluster).alias("cluster"), "engine", F.explode(inside).alias("slice"), F.inline(sides))
+    of = lambda c, e: F.sum(F.when(F.col("engine") == e, F.col(c)).otherwise(0))
+    counts = used.groupBy("slice", "cluster", "label").agg(of("tp", first).alias("tp_a"), of("w", first).alias("w_a"), of("tp", second).alias("tp_b"), of("w", second).alias("w_b"))
+    own = Window.partitionBy("slice").orderBy("cluster")  # one partition a slice of its clusters x labels
+    counts = counts.withColumn("bit", (F.dense_rank().over(own) - 1).cast("int"))
+    sizes = counts.groupBy("slice").agg((F.max("bit") + 1).alias("n_clusters"))
+    every = F.pow(F.lit(2), F.col("n_clusters")) <= EXHAUSTIVE
+    last = F.when(every, F.pow(F.lit(2), F.col("n_clusters")).cast("long") - 1).otherwise(F.lit(SAMPLED).cast("long"))
+    masks = sizes.select("slice", "n_clusters", every.alias("every"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("mask"))
+    drawn = (F.col("mask") > 0) & (F.pmod(F.xxhash64("mask", "bit", F.lit(SEED)), F.lit(2)) == 1)
+    swap = F.when(F.col("every"), F.expr("(shiftright(mask, bit) & 1) = 1")).otherwise(drawn)
+    side = lambda x, y: F.sum(F.when(F.col("swap"), F.col(y)).otherwise(F.col(x)))
+    met = masks.join(counts, "slice").withColumn("swap", swap)
+    summed = met.groupBy("slice", "n_clusters", "mask", "label").agg(side("tp_a", "tp_b").alias("tp_a"), side("w_a", "w_b").alias("w_a"), side("tp_b", "tp_a").alias("tp_b"), side("w_b", "w_a").alias("w_b"))
+    f1 = lambda tp, w: F.avg(F.when(F.col(w) > 0, 2 * F.col(tp) / F.col(w)))
+    return summed.groupBy("slice", "n_clusters", "mask").agg(f1("tp_a", "w_a").alias("first_score"), f1("tp_b", "w_b").alias("second_score"))
+
+
+def comparison_family(rows: DataFrame, cluster: str, first: str, second: str, slices: dict[str, Column]) -> DataFrame:
+    """slice, first_score, second_score, effect, p, floor, p_adjusted, verdict: the whole family, corrected together."""
+    null = macro_f1_null(rows, cluster, first, second, slices).withColumn("difference", F.col("second_score") - F.col("first_score"))
+    seen = null.filter("mask = 0").select("slice", "first_score", "second_score", F.col("difference").alias("effect"))
+    met = null.select("slice", "mask", "difference", "n_clusters").join(seen, "slice")
+    extreme = F.avg((F.abs("difference") >= F.abs("effect") - 1e-12).cast("double"))
+    n, every = F.count(F.lit(1)), F.pow(F.lit(2), F.first("n_clusters")) <= EXHAUSTIVE
+    tests = met.groupBy("slice", "first_score", "second_score", "effect").agg(extreme.alias("p"), (F.when(every, F.lit(2)).otherwise(F.lit(1)) / n).alias("floor"))
+    judged = benjamini_hochberg(tests, "p", "slice")
+    return judged.withColumn("verdict", verdict(F.col("p_adjusted"), F.col("floor"), F.col("effect")))
+
+
 def p_value(null: DataFrame) -> DataFrame:
     """observed, p, floor (the least p possible) of a null distribution."""
     observed = null.filter("mask = 0").select(F.col("difference").alias("observed"))
@@ -52,11 +93,14 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", *order: str) -> DataFrame
     return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_m", "_rank")
 
 
+VERDICTS = ("UNDERPOWERED", "IMPROVEMENT", "REGRESSION", "BELOW_THRESHOLD", "NO_CHANGE")
+
+
 def verdict(p_adjusted: Column, floor: Column, effect: Column) -> Column:
     return (
         F.when(floor > ALPHA, "UNDERPOWERED")
-        .when((p_adjusted <= ALPHA) & (effect >= PRACTICAL), "IMPROVEMENT")
-        .when((p_adjusted <= ALPHA) & (effect <= -PRACTICAL), "REGRESSION")
-        .when(p_adjusted <= ALPHA, "BELOW_THRESHOLD")
+        .when((p_adjusted < ALPHA) & (effect >= PRACTICAL), "IMPROVEMENT")
+        .when((p_adjusted < ALPHA) & (effect <= -PRACTICAL), "REGRESSION")
+        .when(p_adjusted < ALPHA, "BELOW_THRESHOLD")
         .otherwise("NO_CHANGE")
     )

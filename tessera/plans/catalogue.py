@@ -597,15 +597,12 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- truth, prompts, calls --------------------------------------------------------------------------------------
 
-_TRUTH = "SELECT selector, CASE o_orderkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'name' ELSE 'tel' END AS expected FROM c WHERE o_orderkey % 5 <> 0"
 
-
-@query(f"WITH {_PREDICT}, k AS ({_TRUTH}) SELECT p.selector, expected, label FROM p JOIN k USING (selector) WHERE expected <> label AND undetectable_reason IS NULL")
+@query(f"WITH {_PREDICT} SELECT selector, true_label AS expected, label FROM p WHERE true_label <> label AND NOT {_TRAP}")
 def key_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _predicted(spark, sf_dir)
-    expected = F.when(F.col("o_orderkey") % 3 == 0, "email").when(F.col("o_orderkey") % 3 == 1, "name").otherwise("tel")
-    key = feeds.feed_controls(spark, sf_dir).filter("o_orderkey % 5 <> 0").select("selector", expected.alias("expected"))
-    return p.filter("undetectable_reason is null").join(key, "selector").filter("expected <> label").select("selector", "expected", "label")
+    """Visible controls whose classification differs from the answer key, which is a table of its own."""
+    key = feeds.feed_controls(spark, sf_dir).filter("true_label is not null").select("page_id", "selector", F.col("true_label").alias("expected"))
+    return decide.key_mismatches(_visible_predicted(spark, sf_dir), key).select("selector", "expected", "label")
 
 
 @query(f"WITH {_PREDICT}, a AS (SELECT label FROM {dims.values_sql([(x,) for own in dims.LABELS.values() for x in own], 'named(label)')}) SELECT a.label, count(p.selector) AS n FROM a LEFT JOIN p ON a.label = p.label GROUP BY 1")
@@ -671,16 +668,21 @@ def page_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.controls(spark.read.parquet(f"{sf_dir}/pages.parquet")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT c AS form_id, CAST(n AS BIGINT) AS n_controls FROM (SELECT o_orderkey - o_orderkey % 8 AS c, count(*) AS n FROM orders GROUP BY 1)")
-def generated_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forms written as HTML from the control feed and parsed again: every control must come back."""
-    c = feeds.feed_controls(spark, sf_dir)
+def rendered(c: DataFrame) -> DataFrame:
+    """page_id, html: the feed's controls as one form a page of eight."""
     quote = lambda x: F.replace(F.replace(F.col(x), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
     attribute = lambda name, x: F.when(F.col(x).isNotNull(), F.concat(F.lit(f' {name}="'), quote(x), F.lit('"'))).otherwise("")
     kind = F.when(F.col("tag") == "input", F.coalesce(attribute("type", "input_type"), F.lit(""))).otherwise("")
     control = F.concat(F.lit("<"), "tag", kind, attribute("name", "name"), attribute("placeholder", "placeholder"), attribute("autocomplete", "autocomplete_raw"), F.lit(">"), F.when(F.col("tag") != "input", F.concat(F.lit("</"), "tag", F.lit(">"))).otherwise(""))
     rows = c.select((F.col("o_orderkey") - F.col("o_orderkey") % 8).alias("page_id"), "document_index", control.alias("control"))
-    pages = rows.groupBy("page_id").agg(F.concat(F.lit("<form>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("document_index", "control"))), lambda x: x["control"]), "\n"), F.lit("</form>")).alias("html"))
+    return rows.groupBy("page_id").agg(F.concat(F.lit("<form>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("document_index", "control"))), lambda x: x["control"]), "\n"), F.lit("</form>")).alias("html"))
+
+
+@query(f"SELECT c AS form_id, CAST(n AS BIGINT) AS n_controls FROM (SELECT o_orderkey - o_orderkey % 8 AS c, count(*) AS n FROM orders GROUP BY 1)")
+def generated_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms written as HTML from the control feed and parsed again: every control must come back."""
+    c = feeds.feed_controls(spark, sf_dir)
+    pages = rendered(c)
     return html.controls(pages).groupBy(F.col("page_id").alias("form_id")).agg(F.count(F.lit(1)).alias("n_controls"))
 
 

@@ -16,6 +16,8 @@ def _pick(key: str, *values: str | None) -> str:
 
 _LABELS = ("First name", "Last name", "E-mail address", "Phone", "Street address", "City", "Expiry year", "Country", "Card number", "Name on card", "Security code", "Password", "Username", "Company", "Promo code", "Expiry month", "ZIP code", "Address line 2", "Your message", "Date of birth", "", None)
 _NAMES = ("firstName", "last_name", "email", "ctl00$phone", "addr1", "city", "expYear", "country", "ccNumber", "cardHolderName", "cvc", "password", "userName", "company", "promoCode", "expMonth", "zipCode", "address2", "field_7", "input3", "a1b2c3d4e5", None)
+#: What each wording asks for: the answer key.
+_TRUE = ("given-name", "family-name", "email", "tel", "street-address", "address-level2", "cc-exp-year", "country", "cc-number", "cc-name", "cc-csc", "new-password", "username", "organization", "NOT_AUTOFILLABLE", "cc-exp-month", "postal-code", "address-line2", "NOT_AUTOFILLABLE", "bday", None, None)
 _TYPES = ("text", "text", "email", "tel", "text", "password", "text", "checkbox", "url", "number", "search", None)
 _DECLARED = (None, "given-name", "off", None, "shipping street-address", "zipcode", None, "", "section-a billing postal-code", "cc-number", "on", None, "email tel", "work email webauthn", None, "billing", "organization-title", None, "family-name")
 
@@ -42,6 +44,7 @@ CONTROLS = f"""
            CASE WHEN o_orderkey % 7 = 2 THEN CASE o_orderkey % 4 WHEN 0 THEN '01|02|03|04|05|06|07|08|09|10|11|12' WHEN 1 THEN '2026|2027|2028|2029' WHEN 2 THEN '1|2|3|4|5|6|7|8|9|10|11|12' ELSE '|AT|CH|DE' END END AS option_text,
            CASE o_orderkey % 41 WHEN 7 THEN 'closed_shadow_root' WHEN 19 THEN 'cross_origin_frame' END AS undetectable_reason,
            o_orderkey % 23 = 5 AS style_hidden, o_orderkey % 29 = 11 AS zero_size, o_orderkey % 31 = 13 AS offscreen,
+           {_pick("(o_orderkey * 13 + 2)", *_TRUE)} AS true_label,
            '#c' || CAST(o_orderkey AS VARCHAR(20)) AS selector,
            o_orderkey
     FROM orders

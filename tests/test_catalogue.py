@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans.catalogue import ORACLES, QUERIES
+from tessera.plans.registry import ORACLES, QUERIES
 
 
 def plain(value):
