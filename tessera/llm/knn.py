@@ -2,10 +2,12 @@
 
 Inner products become distances by one more coordinate, sqrt(M^2 - |x|^2) for data (M: the greatest
 norm) and 0 for queries: the nearest are then those with the greatest product. Data and queries are
-dealt to the cells of a bounded number of pivots. Per-cell summaries (least and greatest distance to
-the pivot, the k + 1 least distances) bound how far a query's k-th neighbour can be; a data row is
-copied to a query cell only if the triangle inequality allows it within that cell's bound. Cells are
-solved locally in blocks, and a block's k best are merged by rank.
+dealt to the cells of pivots, whose number grows with the square root of the rows up to a bound.
+Per-cell summaries (least and greatest distance to the pivot, the k + 1 least distances) bound how far
+a query's k-th neighbour can be. Neighbouring query cells form groups of about a block of queries; a
+data row is copied to a group only if the triangle inequality allows it within the bound of one of the
+group's cells (a ring around the row's own pivot). Groups are solved locally in as many blocks as the
+rows that reach them fill, and the blocks' k best are merged by rank.
 
 Equal vectors can only take ranks by their least ids: of each distinct vector the k + 1 smallest ids
 take part (its own query may be one of them), so a vector that fills the table costs a few rows.
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, table
 
 K, QUERY_EVERY, SCALE = 5, 50, 256
-#: Pivots are at most so many rows (those with the least hashed ids); query cells as many.
-PIVOTS = 32
+#: Pivots are the square root of the rows, but at least and at most so many (those with the least hashed ids).
+LEAST_PIVOTS, MOST_PIVOTS = 32, 1024
 #: Rows of a block of data, and of a block of queries, in one local join.
 BLOCK, QUERY_BLOCK = 8192, 2048
 #: Bounds are widened by this share against rounding.
@@ -96,11 +98,55 @@ def _solve(k: int):
     return solve
 
 
-def _same_length(rows: DataFrame, queries: DataFrame, k: int, pivots: int) -> DataFrame:
+def groups_of(at: np.ndarray, sizes: dict[int, int], most: int = QUERY_BLOCK) -> list[list[int]]:
+    """Query cells (with their numbers of queries) in groups of about ``most`` queries: a walk to the nearest cell that is left, cut by size."""
+    left, walk = sorted(sizes), []
+    while left:
+        near = left[0] if not walk else left[int(_distances(at[walk[-1:]], at[left])[0].argmin())]
+        walk.append(near)
+        left.remove(near)
+    groups: list[list[int]] = []
+    room = 0
+    for cell in walk:
+        if not groups or sizes[cell] > room:
+            groups.append([])
+            room = most
+        groups[-1].append(cell)
+        room -= sizes[cell]
+    return groups
+
+
+def rings(at: np.ndarray, cells: pd.DataFrame, reach: dict[int, float], groups: list[list[int]], k: int) -> pd.DataFrame:
+    """cell, group, low, high: the rows of a cell, by their distance to its pivot, that a group of query cells may need.
+
+    cells: cell, low, high (extent) and near (the k + 1 least distances); reach: the greatest distance of a query to its pivot.
+    pivots x pivots numbers at most."""
+    own, low, high = (cells[c].to_numpy() for c in ("cell", "low", "high"))
+    near = np.array([list(n) + [np.inf] * (k + 1 - len(n)) for n in cells["near"]]).reshape(len(cells), k + 1)
+    out = []
+    for g, members in enumerate(groups):
+        between = _distances(at[members], at[own])
+        far = np.array([reach[q] for q in members])
+        upper = (far[:, None, None] + between[:, :, None] + near[None]).reshape(len(members), -1)
+        bound = np.partition(upper, k, axis=1)[:, k] if upper.shape[1] > k else np.full(len(members), np.inf)
+        slack = (far + bound)[:, None]  # |q - x| >= |d(pivots) - far(x)| - reach, so far(x) must lie in a ring
+        first, last = between - slack, between + slack
+        first, last = first - SLACK * (1 + np.abs(first)), last + SLACK * (1 + np.abs(last))
+        met = (first <= high) & (last >= low)  # cells that no ring of the group touches get no row
+        first, last = np.where(met, first, np.inf).min(axis=0), np.where(met, last, -np.inf).max(axis=0)
+        kept = met.any(axis=0)
+        out.append(pd.DataFrame({"cell": own[kept], "group": np.int32(g), "low": first[kept], "high": last[kept]}))
+    return pd.concat(out).astype({"cell": np.int32, "group": np.int32})
+
+
+def _same_length(rows: DataFrame, queries: DataFrame, k: int, pivots: int | None) -> DataFrame:
     """Top k of queries against rows (vec_id, v), all of one length, both stored."""
     spark = rows.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     n, reach2 = rows.agg(F.count(F.lit(1)), F.max(square)).first()
+    if n == 0:
+        return spark.createDataFrame([], "query_id long, vec_id long, score long")
+    pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5)))
     centres = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").collect()])
     at = _lifted(centres, reach2)
     schema = "vec_id long, v array<long>, cell int, far double"
@@ -110,32 +156,29 @@ def _same_length(rows: DataFrame, queries: DataFrame, k: int, pivots: int) -> Da
     # Summaries: a cell has its extent and its k + 1 least distances (one of them may be the query itself).
     near = data.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).filter(F.col("nth") <= k + 1)
     nearest = near.groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
-    cells = {r["cell"]: r for r in data.groupBy("cell").agg(F.min("far").alias("low"), F.max("far").alias("high")).join(nearest, "cell").collect()}
-    groups = {r["cell"]: r for r in asked.groupBy("cell").agg(F.max("far").alias("reach"), F.count(F.lit(1)).alias("n")).collect()}
-    between = _distances(at, at)
-    copies = []
-    for q, group in groups.items():  # pivots x pivots steps
-        upper = sorted(group["reach"] + between[q, c] + d for c, s in cells.items() for d in s["near"])[: k + 1]
-        bound = upper[-1] if len(upper) > k else np.inf
-        for c in cells:
-            # |q - x| >= |d(pivots) - far(x)| - reach, so far(x) must lie in a ring
-            slack = group["reach"] + bound
-            low, high = between[q, c] - slack, between[q, c] + slack
-            copies.append((c, q, float(low - SLACK * (1 + abs(low))), float(high + SLACK * (1 + abs(high)))))
-    ring = F.broadcast(spark.createDataFrame(copies, "cell int, group int, low double, high double"))  # pivots x pivots rows at most
-    blocks = max(1, -(-n // BLOCK))
-    spread = data.join(ring, "cell").filter(F.col("far").between(F.col("low"), F.col("high")))
-    parts = {q: -(-g["n"] // QUERY_BLOCK) for q, g in groups.items()}
-    part_of = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair))
-    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), part_of[F.col("group")] - 1))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), part_of[F.col("cell")]).cast("int")).withColumnRenamed("cell", "group")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    extent = data.groupBy("cell").agg(F.min("far").alias("low"), F.max("far").alias("high"))
+    cells = pd.DataFrame([r.asDict() for r in extent.join(nearest, "cell").collect()])
+    of_query = asked.groupBy("cell").agg(F.max("far").alias("reach"), F.count(F.lit(1)).alias("n")).collect()
+    groups = groups_of(at, {r["cell"]: r["n"] for r in of_query})
+    made = rings(at, cells, {r["cell"]: r["reach"] for r in of_query}, groups, k)
+    ring = F.broadcast(spark.createDataFrame([tuple(r) for r in made.itertuples(index=False)], "cell int, group int, low double, high double"))
+    spread = data.join(ring, "cell").filter(F.col("far").between(F.col("low"), F.col("high"))).drop("low", "high")
+    reached = {r["group"]: r["count"] for r in spread.groupBy("group").count().collect()}  # a scan of two columns
+
+    asks = {r["cell"]: r["n"] for r in of_query}
+    shape = [(g, -(-sum(asks[c] for c in own) // QUERY_BLOCK), max(1, -(-reached.get(g, 0) // BLOCK))) for g, own in enumerate(groups)]
+    shapes = F.broadcast(spark.createDataFrame(shape, "group int, parts int, blocks int"))  # at most one row a query cell, as the next
+    place = F.broadcast(spark.createDataFrame([(c, g) for g, own in enumerate(groups) for c in own], "cell int, group int"))
+    dealt = lambda by: F.pmod(F.xxhash64("vec_id"), F.col(by)).cast("int")
+    every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    spread = spread.join(shapes, "group").withColumn("block", dealt("blocks")).withColumn("part", every("parts"))
+    asked = asked.join(place, "cell").join(shapes, "group").withColumn("part", dealt("parts")).withColumn("block", every("blocks"))
     key = ["group", "part", "block"]
     left, right = asked.select(*key, "vec_id", "v").groupBy(*key), spread.select(*key, "vec_id", "v").groupBy(*key)
     return left.cogroup(right).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best of ``vectors`` (both vec_id, v)."""
     spark = vectors.sparkSession
     within = Window.partitionBy("v").orderBy("vec_id")

@@ -88,6 +88,28 @@ def test_top_k_by_brute_force(spark):
     assert knn.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_rings_spare_far_cells_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(knn, "BLOCK", 64)
+    made, rings = [], knn.rings
+    monkeypatch.setattr(knn, "rings", lambda *a: made.append(rings(*a)) or made[-1])
+    rng = np.random.default_rng(8)
+    centres = np.linalg.qr(rng.normal(size=(24, 24)))[0][:20]
+    v = np.vstack([c + rng.normal(0, 0.01, (60, 24)) for c in centres])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = knn.integers(spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)], "vec_id long, embedding array<double>"))
+    asked = table.filter("vec_id % 15 = 0")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.top_k(table, asked, pivots=100).collect()}
+    q = np.floor(256 * v).astype(np.int64)
+    for k in range(0, len(v), 15):
+        best = sorted((-int(s), i) for i, s in enumerate(q @ q[k]) if i != k)[:5]
+        assert [got[k, n] for n in range(1, 6)] == [(i, -s) for s, i in best]
+    (copies,) = made
+    groups = copies["group"].nunique()
+    assert groups >= 10 and len(copies) < 0.5 * 100 * groups
+    assert knn.top_k(table.limit(0), asked).count() == 0
+
+
 def test_warc_round_trip(spark):
     long = "<p>é</p>" * 200
     rows = [(1, "u", long), (2, None, long), (3, "u v", long + "WARC/1.1\r\n\r\n"), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (9, "u", long), (9, "u", long)]
