@@ -36,6 +36,8 @@ K, QUERY_EVERY, SCALE = 5, 50, 256
 LEAST_PIVOTS, MOST_PIVOTS = 32, 1024
 #: Rows of a block of data, and of a block of queries, in one local join.
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Queries whose products a local join holds at once.
+STEP = 128
 #: Bounds are widened by this share against rounding.
 SLACK = 1e-6
 
@@ -84,8 +86,9 @@ def _solve(k: int):
         if len(queries) and len(data):
             data = data.sort_values("vec_id")
             ids, d = data["vec_id"].to_numpy(), np.stack(data["v"])
-            score = products(np.stack(queries["v"]), d)
-            for query, row in zip(queries["vec_id"], score, strict=True):
+            asked = np.stack(queries["v"])
+            steps = (products(asked[at : at + STEP], d) for at in range(0, len(asked), STEP))
+            for query, row in zip(queries["vec_id"], (row for score in steps for row in score), strict=True):
                 row = np.where(ids == query, np.iinfo(np.int64).min, row)
                 best = np.lexsort((ids, -row))[:k] if len(row) <= 4 * k else None
                 if best is None:  # all that reach the k-th score, then by id
@@ -98,7 +101,7 @@ def _solve(k: int):
     return solve
 
 
-def groups_of(at: np.ndarray, sizes: dict[int, int], most: int = QUERY_BLOCK) -> list[list[int]]:
+def groups_of(at: np.ndarray, sizes: dict[int, int], most: int) -> list[list[int]]:
     """Query cells (with their numbers of queries) in groups of about ``most`` queries: a walk to the nearest cell that is left, cut by size."""
     left, walk = sorted(sizes), []
     while left:
@@ -159,7 +162,7 @@ def _same_length(rows: DataFrame, queries: DataFrame, k: int, pivots: int | None
     extent = data.groupBy("cell").agg(F.min("far").alias("low"), F.max("far").alias("high"))
     cells = pd.DataFrame([r.asDict() for r in extent.join(nearest, "cell").collect()])
     of_query = asked.groupBy("cell").agg(F.max("far").alias("reach"), F.count(F.lit(1)).alias("n")).collect()
-    groups = groups_of(at, {r["cell"]: r["n"] for r in of_query})
+    groups = groups_of(at, {r["cell"]: r["n"] for r in of_query}, QUERY_BLOCK)
     made = rings(at, cells, {r["cell"]: r["reach"] for r in of_query}, groups, k)
     ring = F.broadcast(spark.createDataFrame([tuple(r) for r in made.itertuples(index=False)], "cell int, group int, low double, high double"))
     spread = data.join(ring, "cell").filter(F.col("far").between(F.col("low"), F.col("high"))).drop("low", "high")
