@@ -2,8 +2,9 @@
 
 A text is cut into sentences, each sentence is normalised (lower case, words and version numbers
 only) and mapped to the identifier of a known licence sentence; the identifiers, in text order and
-without repeats, are matched against ordered licence rules, of which the first that fits wins. Each
-document is handled in its own row, with no Python and no shuffle.
+each at its first place, are matched against ordered licence rules. The first that fits is the document's
+licence; all that fit are its licences, but for those that a more exact one covers. Each document is
+handled in its own row, with no Python and no shuffle.
 
 Defined results: null and empty texts and texts without a licence sentence are ``NONE``; texts with
 licence sentences that fit no rule are ``UNKNOWN``; repeated rows give equal rows; other columns are
@@ -91,6 +92,8 @@ RULES = (
     ("CC0-1.0", ("cc0_name",)),
     ("Proprietary", ("proprietary",)),
 )
+#: Licences that say nothing more where one of the others is found too; None: where any other is.
+COVERED = {"BSD-2-Clause": ("BSD-3-Clause",), "BSD": ("BSD-3-Clause", "BSD-2-Clause"), "GPL-2.0": ("GPL-2.0-or-later",), "Proprietary": None}
 #: A sentence without any of these words is none of the known ones.
 HINT = r"(?i)licen[sc]e|permission|copyright|redistribution|warrant|\bcc0?[ -]?by|\bcc0\b|\bgpl|apache 2|all rights reserved|proprietary|endorse|creative commons"
 
@@ -124,24 +127,36 @@ def sentence_ids(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.transform(hinted, normalised), _named)))
 
 
-def licence(ids: Column) -> Column:
-    """The first rule that the identifiers fit."""
+def licences(ids: Column) -> Column:
+    """The licences of all rules that the identifiers fit, in rule order, without covered ones."""
     line = F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-    out = F.when(F.size(ids) == 0, "NONE")
-    for name, needed in RULES:
-        out = out.when(line.rlike(r".*".join(rf" {i}(?= )" for i in needed)), name)
-    return out.otherwise("UNKNOWN")
+    fit = F.array(*(F.when(line.rlike(r".*".join(rf" {i}(?= )" for i in needed)), name) for name, needed in RULES))
+
+    def bare(found: Column) -> Column:
+        def stands(name: Column) -> Column:
+            covered = F.lit(False)
+            for weak, by in COVERED.items():
+                more = F.size(found) > 1 if by is None else F.arrays_overlap(found, F.array(*map(F.lit, by)))
+                covered = covered | ((name == weak) & more)
+            return ~covered
+
+        return F.filter(found, stands)
+
+    none = F.array().cast("array<string>")
+    return F.when(F.size(ids) == 0, none).otherwise(F.transform(F.array(F.array_distinct(F.array_compact(fit))), bare)[0])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, sentence_ids, licence of every row."""
+    """doc_id, sentence_ids, licences, licence (the first of them) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = F.when(text.rlike(HINT), sentence_ids(text)).otherwise(F.array().cast("array<string>"))
-    return docs.select("doc_id", ids.alias("sentence_ids")).withColumn("licence", licence(F.col("sentence_ids")))
+    rows = docs.select("doc_id", ids.alias("sentence_ids")).withColumn("licences", licences(F.col("sentence_ids")))
+    first = F.when(F.size("sentence_ids") == 0, "NONE").otherwise(F.coalesce(F.get("licences", F.lit(0)), F.lit("UNKNOWN")))
+    return rows.withColumn("licence", first)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).select("doc_id", "licence", F.array_join("sentence_ids", ",").alias("sentence_ids"))
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", "licence", F.array_join("licences", ",").alias("licences"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
 
 
 QUERIES = {"op2_licenses": op2_licenses}
@@ -157,8 +172,9 @@ ORACLES = {
                                        WHEN regexp_matches(sentence, '\ball rights reserved\b|\bproprietary and confidential\b') THEN 'proprietary' END AS id FROM n),
              d AS (SELECT DISTINCT doc_id, id FROM i WHERE id IS NOT NULL),
              one AS (SELECT doc_id, min(id) AS id, count(*) AS n FROM d GROUP BY doc_id)
+        SELECT doc_id, licence, CASE licence WHEN 'NONE' THEN '' ELSE licence END AS licences, sentence_ids FROM (
         SELECT doc_id, CASE id WHEN 'apache2_name' THEN 'Apache-2.0' WHEN 'gpl3_name' THEN 'GPL-3.0' WHEN 'mit_name' THEN 'MIT' WHEN 'cc_by_nc' THEN 'CC-BY-NC-4.0' WHEN 'proprietary' THEN 'Proprietary' ELSE 'NONE' END AS licence,
                coalesce(id, '') AS sentence_ids
-        FROM documents LEFT JOIN one USING (doc_id)
+        FROM documents LEFT JOIN one USING (doc_id))
     """
 }

@@ -114,3 +114,17 @@ def test_wrapped_licences_and_spdx_lines(spark):
     assert [(r.doc_id, r.licence) for r in rows if r.doc_id.split()[1] != r.licence] == []
     both = spark.createDataFrame([("", "See the MIT License\nAll rights reserved")], "doc_id string, text string")
     assert licenses.scan(both).first().sentence_ids == ["mit_name", "proprietary"]
+
+
+def test_several_licences(spark):
+    cases = [
+        ("Released under the MIT License. Parts: GNU General Public License, version 3.", ["GPL-3.0", "MIT"]),
+        ("SPDX-License-Identifier: MIT\n\nSPDX-License-Identifier: Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("BSD License. Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain the above copyright notice. Redistributions in binary form must reproduce the above copyright notice. All rights reserved.", ["BSD-2-Clause"]),
+        ("All rights reserved.", ["Proprietary"]),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy.", []),
+        (None, []),
+    ]
+    rows = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [list(r.licences) for r in rows] == [found for _, found in cases]
+    assert [r.licence for r in rows] == ["GPL-3.0", "Apache-2.0", "BSD-2-Clause", "Proprietary", "UNKNOWN", "NONE"]
