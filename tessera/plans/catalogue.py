@@ -662,12 +662,6 @@ def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("page_id", "ordinal", "heading", step.alias("step"))
 
 
-@query("SELECT page_id, 0::BIGINT AS n FROM pages WHERE regexp_matches(html, '(?i)<(input|select|textarea)[ >]')")
-def page_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Controls of the given pages, which have none."""
-    return html.controls(spark.read.parquet(f"{sf_dir}/pages.parquet")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def rendered(c: DataFrame) -> DataFrame:
     """page_id, html: the feed's controls as one form a page of eight."""
     quote = lambda x: F.replace(F.replace(F.col(x), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))

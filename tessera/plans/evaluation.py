@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import dims
@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import corpus, decide, observe, rules, statistics
 from tessera.plans import feeds
 from tessera.plans.catalogue import _AGREE, _ADVICE, _FOUND, _PREDICT, _TRAP, C, R, _findings, _predicted, _visible_predicted, query, rendered
+from tessera.sources import html
 
 _SPEC = ", ".join(f"'{t}'" for t in dims.SPEC_LABELS)
 
@@ -190,6 +191,26 @@ def train_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("enough", F.col("n") >= 20)
 
 
+@query(f"""WITH {C} SELECT o_orderkey - o_orderkey % 8 AS form_id, document_index, 'html > form:nth-of-type(1) > ' || tag || ':nth-of-type(' || row_number() OVER (PARTITION BY page_id, tag ORDER BY document_index) || ')' AS selector FROM c""")
+def form_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors of the controls of the rendered forms, which have no ids: paths."""
+    found = html.controls(rendered(feeds.feed_controls(spark, sf_dir)))
+    place = (F.row_number().over(Window.partitionBy("page_id").orderBy("ordinal")) - 1).alias("document_index")
+    return found.select(F.col("page_id").alias("form_id"), place, "selector")
+
+
+@query(f"""WITH {C}, x AS (SELECT o_orderkey - o_orderkey % 8 AS form_id, tag, coalesce(CASE WHEN tag = 'input' THEN input_type END, '') AS kind, coalesce(name, '') AS name, coalesce(placeholder, '') AS placeholder, coalesce(autocomplete_raw, '') AS raw FROM c)
+    SELECT form_id, string_agg(tag || '|' || kind || '|' || name || '|' || placeholder || '|' || raw, ';' ORDER BY tag, kind, name, placeholder, raw) AS controls FROM x GROUP BY 1""")
+def page_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rendered form's controls say, after the way through HTML."""
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    parts = ("tag", "input_type", "name", "placeholder", "autocomplete_raw")
+    item = F.struct(*(blank(p).alias(p) for p in parts))
+    found = html.controls(rendered(feeds.feed_controls(spark, sf_dir)))
+    own = found.groupBy(F.col("page_id").alias("form_id")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return own.select("form_id", F.array_join(F.transform("items", lambda x: F.concat_ws("|", *(x[p] for p in parts))), ";").alias("controls"))
+
+
 # ---- features and reports ---------------------------------------------------------------------------------------
 
 _BOUNDS = {"maxlength": (1, 3, 5, 9, 17, 33, 65), "document_index": (1, 2, 3, 5, 8, 12, 20)}

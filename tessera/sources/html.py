@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,10 +18,15 @@ NO_CONTROL = frozenset("hidden submit button image reset".split())
 ROLES = frozenset("textbox combobox listbox searchbox spinbutton checkbox radio switch slider".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OWN_TEXT = frozenset("select optgroup option textarea button script style".split())
-#: Controls of a page beyond this number are not walked.
-MOST_CONTROLS = 500
+#: Element rows after which a batch of whole pages goes back to Spark.
+MOST_ROWS = 4096
+#: Elements that get a selector.
+ADDRESSED = frozenset("input select textarea canvas".split())
 
-ELEMENTS = "page_id string, ordinal int, parent int, tag string, nth int, element_id string, heading string, attributes map<string,string>, text string, skipped boolean, label_ancestor string, aria_labelledby_text string"
+ELEMENTS = "page_id string, ordinal int, parent int, tag string, nth int, element_id string, heading string, attributes map<string,string>, text string, skipped boolean, label_ancestor string, aria_labelledby_text string, selector string"
+
+#: Ids that a framework made up: four digits in a row, or eight hexadecimal digits between delimiters.
+GENERATED = re.compile(r"\d{4}|(?<![0-9A-Za-z])[0-9a-f]{8,}(?![0-9A-Za-z])")
 
 
 class _Tree(HTMLParser):
@@ -34,6 +41,7 @@ class _Tree(HTMLParser):
         self.pieces: list[tuple[int, str]] = []
         self.span: list[list[int | None]] = []
         self.label: list[int | None] = []
+        self.form: list[int | None] = []
 
     def handle_starttag(self, tag, attrs):
         parent = self.open[-1] if self.open else -1
@@ -42,6 +50,7 @@ class _Tree(HTMLParser):
         skipped = tag in SKIPPED or parent >= 0 and self.rows[parent]["skipped"]
         self.rows.append({"ordinal": len(self.rows), "parent": parent, "tag": tag, "nth": nth, "element_id": own.get("id"), "heading": self.heading, "attributes": own, "text": "", "skipped": skipped})
         self.label.append(len(self.rows) - 1 if tag == "label" else self.label[parent] if parent >= 0 else None)
+        self.form.append(len(self.rows) - 1 if tag == "form" else self.form[parent] if parent >= 0 else None)
         self.span.append([len(self.pieces), len(self.pieces) if tag in VOID else None])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
@@ -89,20 +98,63 @@ class _Tree(HTMLParser):
             named = [self.whole_text(by_id[i]) for i in row["attributes"].get("aria-labelledby", "").split() if i in by_id]
             row["aria_labelledby_text"] = " ".join(filter(None, named)) or None
 
+    def address_all(self):
+        """The selector of each control and canvas: its own id, else its name in a named form, else the path from the nearest
+        ancestor with an id, else from the named form, else from the document. Ids that repeat or look generated do not count."""
+        ids = Counter(row["element_id"] for row in self.rows)
+        named = Counter((self.form[row["ordinal"]], row["attributes"].get("name")) for row in self.rows)
+        known = lambda i: bool(i) and ids[i] == 1 and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_-]*", i) and not GENERATED.search(i)
+        for row in self.rows:
+            at = row["attributes"]
+            row["selector"] = None
+            if row["tag"] not in ADDRESSED and "role" not in at and "contenteditable" not in at:
+                continue
+            form = self.form[row["ordinal"]]
+            title = self.rows[form]["attributes"].get("name") if form is not None and form != row["ordinal"] else None
+            if known(row["element_id"]):
+                row["selector"] = f"#{row['element_id']}"
+            elif title and at.get("name") and named[form, at["name"]] == 1:
+                row["selector"] = f'form[name="{title}"] [name="{at["name"]}"]'
+            else:
+                row["selector"] = self.path(row, known, form if title else None)
+
+    def path(self, row: dict, known, form: int | None) -> str:
+        steps: list[str] = []
+        to_form: tuple[int, str] | None = None
+        while True:
+            if row["tag"] != "html" or row["parent"] >= 0:
+                steps.append(f"{row['tag']}:nth-of-type({row['nth']})")
+            if row["parent"] < 0:
+                break
+            row = self.rows[row["parent"]]
+            if known(row["element_id"]):
+                return " > ".join([f"#{row['element_id']}", *reversed(steps)])
+            if row["ordinal"] == form:
+                to_form = len(steps), f'form[name="{row["attributes"]["name"]}"]'
+        anchor, kept = (to_form[1], steps[: to_form[0]]) if to_form else ("html", steps)
+        return " > ".join([anchor, *reversed(kept)])
+
 
 def parse(html: str | None) -> list[dict]:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     tree.name_all()
+    tree.address_all()
     return tree.rows
 
 
 def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in ELEMENTS.split(", ")]
     for batch in batches:
+        rows: list[dict] = []
         for page, html in zip(batch["page_id"], batch["html"], strict=True):
-            if rows := parse(html):
-                yield pd.DataFrame(rows).assign(page_id=page)[[c.split()[0] for c in ELEMENTS.split(", ")]]
+            rows += ({"page_id": page, **row} for row in parse(html))
+            if len(rows) >= MOST_ROWS:
+                yield pd.DataFrame(rows)[columns]
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows)[columns]
 
 
 def elements(pages: DataFrame) -> DataFrame:
@@ -113,7 +165,7 @@ def elements(pages: DataFrame) -> DataFrame:
 
 def is_control():
     """Whether an element row is a form control."""
-    role, kind = F.col("attributes")["role"], F.lower(F.coalesce(F.col("attributes")["type"], F.lit("text")))
+    role, kind = F.lower(F.col("attributes")["role"]), F.lower(F.coalesce(F.col("attributes")["type"], F.lit("text")))
     editable = F.col("attributes")["contenteditable"]
     native = (F.col("tag") == "input") & ~kind.isin(*NO_CONTROL) | F.col("tag").isin("select", "textarea")
     return ~F.col("skipped") & (native | F.coalesce(editable != "false", F.lit(False)) | F.coalesce(role.isin(*ROLES), F.lit(False)))
@@ -128,7 +180,7 @@ def controls(pages: DataFrame) -> DataFrame:
     named = firsts.join(labels, ["page_id", "element_id"]).select("page_id", "ordinal", "label_for")
     at = F.col("attributes")
     return found.join(named, ["page_id", "ordinal"], "left").select(
-        "page_id", "ordinal", "tag", at["type"].alias("input_type"), at["inputmode"].alias("inputmode"), at["name"].alias("name"), "element_id", "label_for",
+        "page_id", "ordinal", "selector", "tag", at["type"].alias("input_type"), at["inputmode"].alias("inputmode"), at["name"].alias("name"), "element_id", "label_for",
         "label_ancestor", at["aria-label"].alias("aria_label"), "aria_labelledby_text", at["title"].alias("title"),
         at["placeholder"].alias("placeholder"), F.col("heading").alias("section_heading"), at["autocomplete"].alias("autocomplete_raw"), at["maxlength"].try_cast("int").alias("maxlength"),
     )

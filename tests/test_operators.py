@@ -1,6 +1,7 @@
 """Operators on small tables of their own: branches, ties, nulls, empty tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,40 @@ def test_html(spark):
     assert [(r.tag, r.name, r.label_for, r.section_heading) for r in rows] == [("input", "n", "Card number", "Pay now"), ("select", "s", None, "Pay now"), ("div", None, None, "Pay now")]
 
 
+def resolve(rows, selector):
+    """The elements that a selector of ids, attributes and nth-of-type steps names."""
+    steps = re.split(r" > | (?=\[)", selector)
+    at = [r["ordinal"] for r in rows if r["tag"] == "html" and r["parent"] < 0] or [-1] if steps[0] == "html" else None
+    for k, step in enumerate(steps[at is not None :]):
+        if step.startswith("#"):
+            at = [r["ordinal"] for r in rows if r["element_id"] == step[1:]]
+        elif step.startswith("form["):
+            at = [r["ordinal"] for r in rows if r["tag"] == "form" and f'form[name="{r["attributes"].get("name")}"]' == step]
+        elif step.startswith("["):
+            up = lambda r: {r["parent"]} | (up(rows[r["parent"]]) if r["parent"] >= 0 else set())
+            at = [r["ordinal"] for r in rows if f'[name="{r["attributes"].get("name")}"]' == step and up(r) & set(at)]
+        else:
+            tag, nth = re.fullmatch(r"(\w+):nth-of-type\((\d+)\)", step).groups()
+            at = [r["ordinal"] for r in rows if r["parent"] in at and r["tag"] == tag and r["nth"] == int(nth)]
+    return at
+
+
+def test_selectors_name_their_own_element():
+    page = (
+        "<html><body><form name=pay><p><input name=a><input name=b><input name=b></p><input id=c1><input id=dup></form><div id=box><p><select></select></p><textarea id=dup></textarea></div>"
+        "<input id=x12345><form><input name=a><canvas></canvas></form><div role=textbox></div></body></html>"
+    )
+    rows = html.parse(page)
+    selectors = {r["ordinal"]: r["selector"] for r in rows if r["selector"]}
+    assert list(selectors.values()) == [
+        'form[name="pay"] [name="a"]', 'form[name="pay"] > p:nth-of-type(1) > input:nth-of-type(2)', 'form[name="pay"] > p:nth-of-type(1) > input:nth-of-type(3)', "#c1",
+        'form[name="pay"] > input:nth-of-type(2)', "#box > p:nth-of-type(1) > select:nth-of-type(1)", "#box > textarea:nth-of-type(1)", "html > body:nth-of-type(1) > input:nth-of-type(1)",
+        "html > body:nth-of-type(1) > form:nth-of-type(2) > input:nth-of-type(1)", "html > body:nth-of-type(1) > form:nth-of-type(2) > canvas:nth-of-type(1)", "html > body:nth-of-type(1) > div:nth-of-type(2)",
+    ]
+    for ordinal, selector in selectors.items():
+        assert resolve(rows, selector) == [ordinal], selector
+
+
 def test_stream_equals_batch(spark, tmp_path):
     c = controls(spark, dict(label_for="E-mail", input_type="email"), dict(label_for="Phone"))
     c.write.parquet(str(tmp_path / "in"))
