@@ -642,7 +642,7 @@ def call_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pages ------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT lower(tag) AS tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|(<(script|style)[^>]*>).*?(</(script|style)>)', '\\1', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1")
 def element_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = html.elements(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages"))
