@@ -204,10 +204,12 @@ def findings_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).select("page_id", "selector", "code", F.row_number().over(order).alias("finding_ordinal"))
 
 
-@query(f"""WITH {_FOUND}, fix(code, said) AS {dims.values_sql(list(dims.FIXES.items()), "x(code, said)").replace("(VALUES", "(SELECT * FROM (VALUES") + ")"}
-           SELECT selector, found.code, replace(replace(replace(replace(said, '{{wanted}}', CASE WHEN confidence >= 0.7 THEN coalesce(declared_as, '{dims.OPEN}') ELSE '{dims.OPEN}' END),
-                  '{{declared}}', coalesce(token, '')), '{{raw}}', coalesce(autocomplete_raw, '')), '{{selector}}', selector) AS fix
-           FROM found JOIN fix ON found.code = fix.code""")
+_FIX = f"""fix(code, said) AS {dims.values_sql(list(dims.FIXES.items()), "x(code, said)").replace("(VALUES", "(SELECT * FROM (VALUES") + ")"}"""
+_SAID = f"""replace(replace(replace(replace(said, '{{wanted}}', CASE WHEN confidence >= 0.7 THEN coalesce(declared_as, '{dims.OPEN}') ELSE '{dims.OPEN}' END),
+                  '{{declared}}', coalesce(token, '')), '{{raw}}', coalesce(autocomplete_raw, '')), '{{selector}}', selector)"""
+
+
+@query(f"WITH {_FOUND}, {_FIX} SELECT selector, found.code, {_SAID} AS fix FROM found JOIN fix ON found.code = fix.code")
 def finding_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to do about each finding, in words."""
     return _findings(spark, sf_dir).select("selector", "code", "fix")
@@ -680,7 +682,9 @@ def generated_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.controls(pages).groupBy(F.col("page_id").alias("form_id")).agg(F.count(F.lit(1)).alias("n_controls"))
 
 
-@query()
+@query(f"""WITH {_FOUND}, {_FIX}, x AS (SELECT page_id, severity, {{'document_index': document_index, 'severity_rank': severity_rank, 'code': found.code, 'selector': selector, 'severity': severity, 'label': label,
+        'confidence': CASE WHEN found.code IN ({", ".join(f"'{k}'" for k in dims.CLASSIFIED)}) THEN confidence END, 'fix': {_SAID}}} AS item FROM found JOIN fix ON found.code = fix.code)
+    SELECT page_id, CAST(to_json({{'page_id': page_id, 'findings': list(item ORDER BY item.document_index, item.severity_rank, item.code), {", ".join(f"'{k}': count(*) FILTER (WHERE severity = '{k}')" for k in dims.SEVERITIES)}}}) AS VARCHAR) AS report FROM x GROUP BY page_id""")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document a page: its findings in order and their count by severity."""
     f = _findings(spark, sf_dir)
