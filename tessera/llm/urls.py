@@ -28,7 +28,7 @@ GRAMS, BUCKETS = (3, 4, 5), 8192
 MOST_LABELLED = 5000
 #: Gradient steps, their length as a share of what the bound allows, and the decay of weights a step.
 STEPS, RATE, DECAY = 120, 1.0, 1e-3
-#: From this probability on a URL is blocked.
+#: Beyond this probability a URL is blocked.
 THRESHOLD = 0.5
 
 #: The labelled table: words of hosts and paths that are blocked, and of ordinary ones.
@@ -122,7 +122,7 @@ def fit(labelled: DataFrame) -> DataFrame:
         return _let(F.transform("by_example", error), moved)
 
     start = F.array_repeat(F.lit(0.0), F.size("by_feature") + 1)
-    both = both.withColumn("bound", F.aggregate("by_example", F.lit(0.0), lambda s, e: s + (F.size(e["features"]) + 1) / 4))
+    both = both.withColumn("bound", F.greatest(F.lit(1.0), F.aggregate("by_example", F.lit(0.0), lambda s, e: s + (F.size(e["features"]) + 1) / 4)))
     fitted = both.select("by_feature", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step).alias("w"))
     pairs = fitted.select(F.explode(F.concat(F.array(F.struct(F.lit(-1).cast("long").alias("bucket"), F.col("w")[0].alias("w"))), F.transform("by_feature", lambda f: F.struct(f["bucket"].alias("bucket"), F.col("w")[f["feature"]].alias("w"))))).alias("p")).select("p.*")
     every = labelled.sparkSession.range(-1, BUCKETS).withColumnRenamed("id", "bucket").join(pairs, "bucket", "left").fillna(0.0)
@@ -151,7 +151,7 @@ def judge(urls: DataFrame, weights: DataFrame, rules: tuple[tuple[str, str, str]
     """The rows of ``urls`` with url_host, url_path, url_rule, url_score (the regression's, for every row) and url_verdict."""
     parts = with_host_and_path(urls.select(F.struct(*urls.columns).alias("row"), "url"))
     judged = parts.withColumn("weights", weights.select("weights").scalar()).withColumns({"fit": matching_rule(rules), "score": score()})
-    learned = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
+    learned = F.when(F.col("score") > THRESHOLD, "block").otherwise("allow")
     return judged.select(
         "row.*", F.col("host").alias("url_host"), F.col("path").alias("url_path"), F.col("fit.rule").alias("url_rule"), F.col("score").alias("url_score"), F.coalesce("fit.verdict", learned).alias("url_verdict")
     )
@@ -205,7 +205,7 @@ def _oracle() -> str:
             SELECT n, sum(weight) AS total FROM (SELECT n, unnest(buckets) AS bucket FROM page_rows) JOIN model USING (bucket) GROUP BY n
         )
         SELECT page_id, host, path, CASE {rule} END AS rule,
-               CASE {verdict} WHEN (SELECT any_value(b) FROM model) + coalesce(total, 0) >= 0 THEN 'block' ELSE 'allow' END AS verdict
+               CASE {verdict} WHEN (SELECT any_value(b) FROM model) + coalesce(total, 0) > 0 THEN 'block' ELSE 'allow' END AS verdict
         FROM page_rows LEFT JOIN scored USING (n)
     """
 
