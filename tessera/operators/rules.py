@@ -12,13 +12,20 @@ LABEL_SOURCES = ("label_for", "label_ancestor", "aria_label", "aria_labelledby_t
 _MATCHES = "array<struct<pos:int,label:string,weight:int>>"
 
 
+#: What identifies a control and what surrounds it, in order; columns that a table lacks say nothing.
+IDENTIFIER_SOURCES = ("name", "element_id", "css_classes", "data_keys", "framework_values")
+CONTEXT_SOURCES = ("preceding_text", "legend", "section_heading", "form_accessible_name", "aria_describedby_text")
+
+
 def signals(controls: DataFrame) -> DataFrame:
-    """Controls with label_source, the four token streams and the parsed declaration; null texts are not blank ones."""
+    """Controls with label_source, the token streams and the parsed declaration; null texts are not blank ones."""
+    known = dict(controls.dtypes)
+    texts = [F.array_join(c, " ") if known[c].startswith("array") else F.col(c) for c in IDENTIFIER_SOURCES if c in known]
     made = F.struct(
         label_source(*LABEL_SOURCES).alias("label_source"),
         F.array_join(tokens(F.coalesce(*map(F.col, LABEL_SOURCES))), " ").alias("label_stream"),
-        F.array_join(F.concat(identifier_tokens(F.col("name")), identifier_tokens(F.col("element_id"))), " ").alias("identifier_stream"),
-        F.array_join(tokens(F.col("section_heading")), " ").alias("context_stream"),
+        F.array_join(F.concat(*map(identifier_tokens, texts)), " ").alias("identifier_stream"),
+        F.array_join(F.concat(*(tokens(F.col(c)) for c in CONTEXT_SOURCES if c in known)), " ").alias("context_stream"),
         declaration(F.col("autocomplete_raw")).alias("declared"),
     )
     return controls.select("*", F.inline(F.array(made)))  # a generator: later uses read columns and do not repeat the work
