@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +40,28 @@ def visible(controls: DataFrame) -> DataFrame:
     return controls.filter(~F.greatest(*(F.coalesce(c, F.lit(False)) for c in [*traps, *traps]))) if traps else controls
 
 
-def wording_matches(stream: Column) -> Column:
-    """The wording rules that a token stream meets, in rule order. Each pattern is a constant, compiled once."""
-    hits = [F.when(stream.rlike(pattern), F.struct(F.lit(k).alias("pos"), F.lit(label).alias("label"), F.lit(weight).alias("weight"))) for k, pattern, label, weight in dims.wording_rules()]
-    # Most streams meet no rule: one pattern of all phrases rules them out.
-    return F.when((stream == "") | ~stream.rlike(dims.any_wording()), F.array().cast(_MATCHES)).otherwise(F.array_compact(F.array(*hits)).cast(_MATCHES))
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@functools.cache
+def wording_sql(stream: str) -> str:
+    """SQL for the wording rules that a token stream meets, in rule order: those whose phrases are among its runs of tokens.
+
+    A set of all phrases sorts the runs out; what is left, mostly nothing, is looked up. (One text, as an expression of
+    hundreds of literals is slow to build from Python.)"""
+    phrases = dims.wording_phrases()
+    most = max(len(p.split()) for p in phrases)
+    runs = ", ".join(f"IF(size(w) >= {n}, transform(sequence(1, size(w) - {n - 1}), k -> concat_ws(' ', slice(w, k, {n}))), array())" for n in range(2, most + 1))
+    hits = f"filter(transform(array(split({stream}, ' ')), w -> concat(w, {runs}))[0], run -> run IN ({', '.join(map(_text, phrases))}))"
+    known = json.dumps({p: [{"pos": k, "label": label, "weight": weight} for k, label, weight in met] for p, met in phrases.items()}, ensure_ascii=False)
+    looked_up = f"array_sort(array_distinct(flatten(transform(h, run -> from_json({_text(known)}, 'map<string,{_MATCHES}>')[run]))))"
+    return f"coalesce(IF({stream} = '', NULL, transform(array({hits}), h -> IF(size(h) > 0, {looked_up}, NULL))[0]), cast(array() AS {_MATCHES}))"
+
+
+def wording_matches(stream: str) -> Column:
+    """The wording rules that a token stream (in SQL) meets, in rule order."""
+    return F.expr(wording_sql(stream))
 
 
 def attribute_matches(columns: list[str]) -> Column:
@@ -69,17 +89,18 @@ def verdict(matches: Column, tier: str) -> Column:
     return F.get(F.transform(F.filter(F.array(matches), lambda f: F.size(f) > 0), decide), F.lit(0))
 
 
+#: The wording tiers in order, with the stream that each reads, in SQL.
+_STREAMS = (
+    ("label", "IF(label_source = 'placeholder', '', label_stream)"),
+    ("identifier", "identifier_stream"),
+    ("placeholder", "IF(label_source = 'placeholder', label_stream, '')"),
+    ("context", "context_stream"),
+)
+
+
 def _steps(controls: DataFrame) -> list[tuple[str, Column]]:
     """The tiers in order with the rules that a control meets there."""
-    label = F.when(F.col("label_source") == "placeholder", F.lit("")).otherwise(F.col("label_stream"))
-    placeholder = F.when(F.col("label_source") == "placeholder", F.col("label_stream")).otherwise(F.lit(""))
-    return [
-        ("intrinsic", attribute_matches(controls.columns)),
-        ("label", wording_matches(label)),
-        ("identifier", wording_matches(F.col("identifier_stream"))),
-        ("placeholder", wording_matches(placeholder)),
-        ("context", wording_matches(F.col("context_stream"))),
-    ]
+    return [("intrinsic", attribute_matches(controls.columns)), *((tier, wording_matches(stream)) for tier, stream in _STREAMS)]
 
 
 def with_evidence(predicted: DataFrame) -> DataFrame:
@@ -104,9 +125,12 @@ def shown(signals: Column, most: int = 6) -> Column:
 
 
 def predict(controls: DataFrame) -> DataFrame:
-    """Controls (with signals) and label, confidence, tier, runner_up. A later tier is evaluated only where the earlier ones
-    leave a control open; blind spots are UNKNOWN at 0."""
-    nothing = F.struct(F.lit("UNKNOWN").alias("label"), F.lit(0.0).alias("confidence"), F.lit("none").alias("tier"), F.lit(None).cast("string").alias("runner_up"))
-    found = F.coalesce(*(verdict(matches, tier) for tier, matches in _steps(controls)), nothing)
-    made = F.when(F.col("undetectable_reason").isNotNull(), nothing).otherwise(found)
-    return controls.select("*", F.inline(F.array(made)))  # as in signals()
+    """Controls (with signals) and label, confidence, tier, runner_up: the first tier that decides. Blind spots are UNKNOWN at 0."""
+    tiers = ", ".join(f"named_struct('tier', '{tier}', 'confidence', cast({dims.TIERS[tier]} AS double), 'met', met_{tier})" for tier in ("intrinsic", *(t for t, _ in _STREAMS)))
+    decided = f"""filter(transform(filter(array({tiers}), t -> size(t.met) > 0), t -> transform(array(array_max(transform(t.met, m -> m.weight))), top ->
+        transform(array(array_distinct(transform(filter(t.met, m -> m.weight = top), m -> m.label))), winners -> IF(size(winners) = 1, named_struct('label', winners[0], 'confidence', t.confidence, 'tier', t.tier, 'runner_up',
+            array_min(transform(filter(t.met, m -> m.weight < top AND m.label <> winners[0]), m -> named_struct('w', -m.weight, 'p', m.pos, 'label', m.label))).label), NULL))[0])[0]), d -> d IS NOT NULL)"""
+    nothing = "named_struct('label', 'UNKNOWN', 'confidence', cast(0 AS double), 'tier', 'none', 'runner_up', cast(NULL AS string))"
+    matched = controls.select("*", *(found.alias(f"met_{tier}") for tier, found in _steps(controls)))
+    made = F.expr(f"IF(undetectable_reason IS NOT NULL, {nothing}, coalesce(get({decided}, 0), {nothing}))")
+    return matched.select(*controls.columns, F.inline(F.array(made)))  # as in signals()

@@ -166,7 +166,7 @@ def intrinsic_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocab_tier_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = rules.signals(feeds.feed_controls(spark, sf_dir))
     streams = s.select(F.explode(F.array("label_stream", "identifier_stream", "context_stream")).alias("stream")).filter("stream <> ''").distinct()
-    found = streams.withColumn("m", rules.wording_matches(F.col("stream"))).filter("size(m) > 0")
+    found = streams.withColumn("m", rules.wording_matches("stream")).filter("size(m) > 0")
     return found.select("stream", F.size("m").alias("n_matches"), F.array_join(F.transform("m", lambda x: x["pos"].cast("string")), ",").alias("positions"))
 
 

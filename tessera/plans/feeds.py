@@ -75,15 +75,32 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names}
 
 
-def prepared(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    """The SQL over given tables, which are bound to this query and leave the session's views alone."""
-    for name in names:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt to all of them by key before long work on its rows; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *map(F.expr, keys)) if df.rdd.getNumPartitions() < cores else df
+
+
+def bound(sql: str, given: dict[str, DataFrame]) -> DataFrame:
+    """The SQL over tables that are bound to this query and leave the session's views alone."""
+    for name in given:
         sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
-    return spark.sql(sql, **tables(spark, sf_dir, *names))
+    return next(iter(given.values())).sparkSession.sql(sql, **given)
+
+
+def prepared(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """The SQL over given tables."""
+    return bound(sql, tables(spark, sf_dir, *names))
+
+
+def by_page(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The SQL over orders, the rows of a page in one partition."""
+    orders = tables(spark, sf_dir, "orders")["orders"].select("o_orderkey")
+    return bound(sql, {"orders": spread(orders, "CAST(floor(o_orderkey / 8.0) AS BIGINT)")})
 
 
 def feed_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepared(spark, sf_dir, CONTROLS, "orders").withColumn("option_values", F.split("option_text", r"\|"))
+    return by_page(spark, sf_dir, CONTROLS).withColumn("option_values", F.split("option_text", r"\|"))
 
 
 def feed_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:

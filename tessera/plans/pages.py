@@ -98,7 +98,7 @@ def written(c: DataFrame) -> DataFrame:
 
 
 def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(feeds.prepared(spark, sf_dir, CONTROLS, "orders"))
+    return feeds.spread(written(feeds.by_page(spark, sf_dir, CONTROLS)))
 
 
 @query(f"""WITH {_PLACED} SELECT page_id, document_index, selector, tag, undetectable_reason, label_for, label_ancestor, aria_labelledby_text, placeholder, nullif(preceding_text, '') AS preceding_text, legend, section_heading,
