@@ -124,13 +124,20 @@ def shown(signals: Column, most: int = 6) -> Column:
     return F.concat(F.array_join(F.slice(signals, 1, most), ", "), more)
 
 
+def _decision(met: str, tier: str) -> str:
+    """verdict() as SQL text, for rules met that are SQL text."""
+    second = "array_min(transform(filter(met, m -> m.weight < top AND m.label <> winners[0]), m -> named_struct('w', -m.weight, 'p', m.pos, 'label', m.label))).label"
+    one = f"named_struct('label', winners[0], 'confidence', cast({dims.TIERS[tier]} AS double), 'tier', '{tier}', 'runner_up', {second})"
+    winners = "array_distinct(transform(filter(met, m -> m.weight = top), m -> m.label))"
+    decided = f"transform(array(array_max(transform(met, m -> m.weight))), top -> transform(array({winners}), winners -> IF(size(winners) = 1, {one}, NULL))[0])[0]"
+    return f"transform(array({met}), met -> IF(size(met) > 0, {decided}, NULL))[0]"
+
+
 def predict(controls: DataFrame) -> DataFrame:
-    """Controls (with signals) and label, confidence, tier, runner_up: the first tier that decides. Blind spots are UNKNOWN at 0."""
-    tiers = ", ".join(f"named_struct('tier', '{tier}', 'confidence', cast({dims.TIERS[tier]} AS double), 'met', met_{tier})" for tier in ("intrinsic", *(t for t, _ in _STREAMS)))
-    decided = f"""filter(transform(filter(array({tiers}), t -> size(t.met) > 0), t -> transform(array(array_max(transform(t.met, m -> m.weight))), top ->
-        transform(array(array_distinct(transform(filter(t.met, m -> m.weight = top), m -> m.label))), winners -> IF(size(winners) = 1, named_struct('label', winners[0], 'confidence', t.confidence, 'tier', t.tier, 'runner_up',
-            array_min(transform(filter(t.met, m -> m.weight < top AND m.label <> winners[0]), m -> named_struct('w', -m.weight, 'p', m.pos, 'label', m.label))).label), NULL))[0])[0]), d -> d IS NOT NULL)"""
+    """Controls (with signals) and label, confidence, tier, runner_up. A later tier is evaluated only where the earlier ones
+    leave a control open; blind spots are UNKNOWN at 0."""
     nothing = "named_struct('label', 'UNKNOWN', 'confidence', cast(0 AS double), 'tier', 'none', 'runner_up', cast(NULL AS string))"
-    matched = controls.select("*", *(found.alias(f"met_{tier}") for tier, found in _steps(controls)))
-    made = F.expr(f"IF(undetectable_reason IS NOT NULL, {nothing}, coalesce(get({decided}, 0), {nothing}))")
+    tiers = ", ".join([_decision("met_intrinsic", "intrinsic"), *(_decision(wording_sql(stream), tier) for tier, stream in _STREAMS)])
+    made = F.expr(f"IF(undetectable_reason IS NOT NULL, {nothing}, coalesce({tiers}, {nothing}))")
+    matched = controls.withColumn("met_intrinsic", attribute_matches(controls.columns))
     return matched.select(*controls.columns, F.inline(F.array(made)))  # as in signals()
