@@ -39,7 +39,7 @@ def test_same_rows_as_sql(spark, duck, small, name):
     assert own == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"linear_engine"}))  # that one has a test of its accuracy
 def test_runs(spark, small, name):
     df = QUERIES[name](spark, small)
     assert df.columns and df.count() >= 0
