@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera import dims
 from tessera.operators import pages as page_audit
+from tessera.operators import resolve
 from tessera.plans import feeds
 from tessera.plans.catalogue import _FOUND, _stream, query
+from tessera.sources import forest
 
 _PAIR = "page_id % 4 = 2 AND k IN (3, 4) AND halves = 2"
 #: A page's controls as the page says them: what the markup cannot hold is left out of the feed's columns.
@@ -160,3 +162,11 @@ def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page's audit could not read, and how much it read."""
     notes = page_audit.page_notes(feed_pages(spark, sf_dir))
     return notes.select("page_id", "controls_seen", "roots", "truncated", F.array_join("unreadable_frames", " ").alias("unreadable"))
+
+
+@query(f"""WITH {_PLACED} SELECT page_id, selector, 1::BIGINT AS n_elements, tag, CASE WHEN undetectable_reason IS NOT NULL THEN 'b' || k ELSE element_id END AS element_id FROM c
+           UNION ALL SELECT page_id, '#sign', 1, 'canvas', 'sign' FROM c WHERE page_id % 5 = 0 GROUP BY 1""")
+def selector_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every selector that the pages' fields got, looked up in the pages again: it names one element, the right one."""
+    pages = feed_pages(spark, sf_dir)
+    return resolve.resolution(forest.elements(pages), forest.nodes(pages).filter("kind <> 'page'").select("page_id", "selector"))

@@ -462,3 +462,40 @@ def nodes(pages: DataFrame) -> DataFrame:
     schema = ", ".join(f"{f.name} {_KINDS[f.type]}" for f in NODES)
     found = pages.select(F.col("page_id").cast("string").alias("page_id"), "html").mapInArrow(_nodes, schema)
     return found.withColumn("page_id", F.col("page_id").cast("long"))
+
+
+ELEMENTS = pa.schema(
+    [("page_id", pa.string()), ("root", pa.string()), ("ordinal", pa.int32()), ("path", pa.list_(pa.struct([("tag", pa.string()), ("id", pa.string()), ("name", pa.string()), ("nth", pa.int32())])))]
+)
+
+
+def page_elements(page_id: str | None, html: str | None) -> Iterator[dict]:
+    """Every element of every readable root, in the order of the document, with the way to its root and its path below it."""
+    todo = [(tree(html or ""), (), (), 0)]
+    ordinal = 0
+    while todo:
+        top, frame_path, hosts, depth = todo.pop(0)
+        own, paths = Root(top), {}
+        key = FRAME.join((*frame_path, *([SHADOW.join(hosts)] if hosts else [])))
+        for e in top.all():
+            above = [] if e.parent is top else paths[id(e.parent)]
+            paths[id(e)] = [*above, {"tag": e.tag, "id": e.at.get("id") or None, "name": e.at.get("name"), "nth": nth(e)}]
+            yield {"page_id": page_id, "root": key, "ordinal": ordinal, "path": paths[id(e)]}
+            ordinal += 1
+            if e.shadow is not None:
+                todo.append((e.shadow, frame_path, (*hosts, own.selector(e, "html")), depth))
+            if e.tag in ("iframe", "frame") and depth < FRAME_DEPTH and "srcdoc" in e.at:
+                selector = FRAME.join((*frame_path, SHADOW.join((*hosts, own.selector(e, "" if hosts else "html")))))
+                todo.append((tree(e.at["srcdoc"]), (*frame_path, f"frame[{selector}]"), (), depth + 1))
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_pylist(list(page_elements(page_id, html)), schema=ELEMENTS)
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """page_id, root, ordinal, path: every element of ``pages`` (page_id, html) where selectors look for it."""
+    found = pages.select(F.col("page_id").cast("string").alias("page_id"), "html").mapInArrow(_elements, "page_id string, root string, ordinal int, path array<struct<tag:string,id:string,name:string,nth:int>>")
+    return found.withColumn("page_id", F.col("page_id").cast("long"))
