@@ -446,9 +446,8 @@ def ece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {R} SELECT engine, round(quantile_cont(latency_us, 0.5), 6) AS p50, round(quantile_cont(latency_us, 0.95), 6) AS p95, round(quantile_cont(latency_us, 0.99), 6) AS p99 FROM r GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.percentile("latency_us", [0.5, 0.95, 0.99])
-    p = feeds.feed_runlog(spark, sf_dir).groupBy("engine").agg(at.alias("p"))
-    return p.select("engine", *(F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+    p = metrics.exact_percentiles(feeds.feed_runlog(spark, sf_dir), "latency_us", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "engine")
+    return p.select("engine", *(F.round(n, 6).alias(n) for n in ("p50", "p95", "p99")))
 
 
 @query(f"WITH {R} SELECT a.form_id, a.pred_label AS first_label, b.pred_label AS second_label, a.form_id IS NULL OR b.form_id IS NULL AS unmatched FROM (SELECT * FROM r WHERE engine = 'rules') a FULL JOIN (SELECT * FROM r WHERE engine = 'ngram') b ON a.form_id = b.form_id WHERE a.pred_label IS DISTINCT FROM b.pred_label")
