@@ -19,15 +19,24 @@ BOUNDARIES = (
 )
 
 
+# Full-width signs, letters and digits and the wide blank, and what they stand for.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
+def narrow(text: Column) -> Column:
+    """Full-width forms as the plain ones: the compatibility forms that labels are written in."""
+    return F.translate(text, _WIDE, _NARROW)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case tokens of a text in its own spelling (no compatibility forms); null gives none."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), BOUNDARIES, " "), r"[^\p{L}\p{N}\p{M}]+")
+    """Lower-case tokens of a text, full-width forms as plain ones (other compatibility forms stay); null gives none."""
+    parts = F.split(F.regexp_replace(narrow(F.coalesce(text, F.lit(""))), BOUNDARIES, " "), r"[^\p{L}\p{N}\p{M}]+")
     return F.transform(F.filter(parts, lambda t: t != ""), F.lower)
 
 
 def identifier_tokens(text: Column) -> Column:
     """Tokens of an identifier without what frameworks add, before and after the split; repeats stay."""
-    fragments = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\p{M}]+"), lambda t: (t != "") & ~F.lower(t).isin(*NOISE))
+    fragments = F.filter(F.split(narrow(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), lambda t: (t != "") & ~F.lower(t).isin(*NOISE))
     return F.filter(tokens(F.array_join(fragments, " ")), lambda t: ~t.isin(*NOISE))
 
 
