@@ -88,3 +88,23 @@ def label_gaps(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """label, n of labels that groups (label) do not name exactly once, unknown ones included."""
     n = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return labels.select("label").distinct().join(n, "label", "full").select("label", F.coalesce("n", F.lit(0)).alias("n")).filter("n <> 1")
+
+
+#: Of a family's templates, in their shuffled order, so many are for training, choosing and judging.
+DEAL = (("train", 5), ("dev", 1), ("test", 2))
+
+
+def deal_templates(templates: DataFrame, seed: int = 7) -> DataFrame:
+    """family, template, place, part: each family's templates in an order of their own, dealt 5, 1 and 2; what is beyond is for judging.
+
+    The order is a hash of seed, family and template, so it is the same wherever and however often it is drawn."""
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), "family", F.col("template").cast("string")))
+    place = F.row_number().over(Window.partitionBy("family").orderBy(drawn, "template"))  # a family has some templates
+    part, upto = F.lit(DEAL[-1][0]), 0
+    cases = []
+    for name, n in DEAL:
+        upto += n
+        cases.append((upto, name))
+    for most, name in reversed(cases[:-1]):
+        part = F.when(F.col("place") <= most, name).otherwise(part)
+    return templates.select("family", "template").distinct().withColumn("place", place).withColumn("part", part)

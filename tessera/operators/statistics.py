@@ -6,11 +6,15 @@ rows are counted once by (cluster, engine) and the masks meet those counts, neve
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: All swaps are tried while there are at most so many, else SAMPLED seeded ones.
-EXHAUSTIVE, SAMPLED, SEED = 50_000, 10_000, 20260825
+EXHAUSTIVE, SAMPLED, SEED = 50_000, 10_000, 41
+#: Ranges that the masks of a test are dealt to.
+MASK_RANGES = 16
 #: Test level, and the least difference that matters.
 ALPHA, PRACTICAL = 0.05, 0.02
 
@@ -50,14 +54,8 @@ def macro_f1_null(rows: DataFrame, cluster: str, first: str, second: str, slices
     counts = used.groupBy("slice", "cluster", "label").agg(of("tp", first).alias("tp_a"), of("w", first).alias("w_a"), of("tp", second).alias("tp_b"), of("w", second).alias("w_b"))
     own = Window.partitionBy("slice").orderBy("cluster")  # one partition a slice of its clusters x labels
     counts = counts.withColumn("bit", (F.dense_rank().over(own) - 1).cast("int"))
-    sizes = counts.groupBy("slice").agg((F.max("bit") + 1).alias("n_clusters"))
-    every = F.pow(F.lit(2), F.col("n_clusters")) <= EXHAUSTIVE
-    last = F.when(every, F.pow(F.lit(2), F.col("n_clusters")).cast("long") - 1).otherwise(F.lit(SAMPLED).cast("long"))
-    masks = sizes.select("slice", "n_clusters", every.alias("every"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("mask"))
-    drawn = (F.col("mask") > 0) & (F.pmod(F.xxhash64("mask", "bit", F.lit(SEED)), F.lit(2)) == 1)
-    swap = F.when(F.col("every"), F.expr("(shiftright(mask, bit) & 1) = 1")).otherwise(drawn)
+    met = _swapped(counts, "slice")
     side = lambda x, y: F.sum(F.when(F.col("swap"), F.col(y)).otherwise(F.col(x)))
-    met = masks.join(counts, "slice").withColumn("swap", swap)
     summed = met.groupBy("slice", "n_clusters", "mask", "label").agg(side("tp_a", "tp_b").alias("tp_a"), side("w_a", "w_b").alias("w_a"), side("tp_b", "tp_a").alias("tp_b"), side("w_b", "w_a").alias("w_b"))
     f1 = lambda tp, w: F.avg(F.when(F.col(w) > 0, 2 * F.col(tp) / F.col(w)))
     return summed.groupBy("slice", "n_clusters", "mask").agg(f1("tp_a", "w_a").alias("first_score"), f1("tp_b", "w_b").alias("second_score"))
@@ -65,14 +63,62 @@ def macro_f1_null(rows: DataFrame, cluster: str, first: str, second: str, slices
 
 def comparison_family(rows: DataFrame, cluster: str, first: str, second: str, slices: dict[str, Column]) -> DataFrame:
     """slice, first_score, second_score, effect, p, floor, p_adjusted, verdict: the whole family, corrected together."""
-    null = macro_f1_null(rows, cluster, first, second, slices).withColumn("difference", F.col("second_score") - F.col("first_score"))
-    seen = null.filter("mask = 0").select("slice", "first_score", "second_score", F.col("difference").alias("effect"))
-    met = null.select("slice", "mask", "difference", "n_clusters").join(seen, "slice")
+    return judged(macro_f1_null(rows, cluster, first, second, slices), "slice")
+
+
+def finding_null(observed: DataFrame, cluster: str, first: str, second: str) -> DataFrame:
+    """test, mask, first_score, second_score, n_clusters: precision and recall of each finding code under each swap of whole clusters.
+
+    ``observed``: engine, code, needed, emitted, correct (booleans) and the cluster. Both ratios are made of counts that add up: right
+    accusations over all accusations, and over the fields that need one; a swap exchanges the engines' counts."""
+    used = observed.filter(F.col("engine").isin(first, second)).withColumn("right", F.col("emitted") & F.col("correct"))
+    of = lambda c, e: F.count_if(F.col(c) & (F.col("engine") == e))
+    names = [(f"{c}_{k}", of(c, e)) for c in ("right", "emitted", "needed") for k, e in (("a", first), ("b", second))]
+    counts = used.groupBy("code", F.col(cluster).alias("cluster")).agg(*(x.alias(n) for n, x in names))
+    counts = counts.withColumn("bit", (F.row_number().over(Window.partitionBy("code").orderBy("cluster")) - 1).cast("int"))  # the clusters of a code
+    met = _swapped(counts, "code")
+    side = lambda x, y: F.sum(F.when(F.col("swap"), F.col(y)).otherwise(F.col(x)))
+    summed = met.groupBy("code", "n_clusters", "mask").agg(*(side(f"{c}_{x}", f"{c}_{y}").alias(f"{c}_{x}") for c in ("right", "emitted", "needed") for x, y in (("a", "b"), ("b", "a"))))
+    ratio = lambda k, c: F.coalesce(F.try_divide(F.col(f"right_{k}").cast("double"), F.col(f"{c}_{k}").cast("double")), F.lit(0.0))
+    both = F.array(*(F.struct(F.lit(f"/{name}").alias("metric"), ratio("a", c).alias("first_score"), ratio("b", c).alias("second_score")) for name, c in (("precision", "emitted"), ("recall", "needed"))))
+    each = summed.select("code", "n_clusters", "mask", F.inline(both))
+    return each.select(F.concat("code", "metric").alias("test"), "mask", "first_score", "second_score", "n_clusters")
+
+
+def _swapped(counts: DataFrame, key: str) -> DataFrame:
+    """Counts (key, bit, ..) with every mask of their key's clusters: n_clusters, mask, swap. All swaps while there are few, else drawn ones.
+    Masks are dealt over their numbers, so a key is not one task."""
+    sizes = counts.groupBy(key).agg((F.max("bit") + 1).alias("n_clusters"))
+    every = F.pow(F.lit(2), F.col("n_clusters")) <= EXHAUSTIVE
+    last = F.when(every, F.pow(F.lit(2), F.col("n_clusters")).cast("long") - 1).otherwise(F.lit(SAMPLED).cast("long"))
+    ranges = F.sequence(F.lit(0), F.lit(MASK_RANGES - 1))
+    masks = sizes.select(key, "n_clusters", every.alias("every"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("mask")).withColumn("range", (F.col("mask") % MASK_RANGES).cast("int"))
+    met = masks.join(counts.withColumn("range", F.explode(ranges)), [key, "range"]).drop("range")
+    drawn = (F.col("mask") > 0) & (F.pmod(F.xxhash64("mask", "bit", F.lit(SEED)), F.lit(2)) == 1)
+    return met.withColumn("swap", F.when(F.col("every"), F.expr("(shiftright(mask, bit) & 1) = 1")).otherwise(drawn))
+
+
+def judged(null: DataFrame, *keys: str) -> DataFrame:
+    """Keys, first_score, second_score, effect, p, floor, p_adjusted, verdict: all tests of a null distribution as one family."""
+    moved = null.withColumn("difference", F.col("second_score") - F.col("first_score"))
+    seen = moved.filter("mask = 0").select(*keys, "first_score", "second_score", F.col("difference").alias("effect"))
+    met = moved.select(*keys, "mask", "difference", "n_clusters").join(seen, list(keys))
     extreme = F.avg((F.abs("difference") >= F.abs("effect") - 1e-12).cast("double"))
     n, every = F.count(F.lit(1)), F.pow(F.lit(2), F.first("n_clusters")) <= EXHAUSTIVE
-    tests = met.groupBy("slice", "first_score", "second_score", "effect").agg(extreme.alias("p"), (F.when(every, F.lit(2)).otherwise(F.lit(1)) / n).alias("floor"))
-    judged = benjamini_hochberg(tests, "p", "slice")
-    return judged.withColumn("verdict", verdict(F.col("p_adjusted"), F.col("floor"), F.col("effect")))
+    tests = met.groupBy(*keys, "first_score", "second_score", "effect").agg(extreme.alias("p"), (F.when(every, F.lit(2)).otherwise(F.lit(1)) / n).alias("floor"))
+    return benjamini_hochberg(tests, "p", *keys).withColumn("verdict", verdict(F.col("p_adjusted"), F.col("floor"), F.col("effect")))
+
+
+def all_pairs(rows: DataFrame, observed: DataFrame, cluster: str, engines: list[str], slices: dict[str, Column]) -> DataFrame:
+    """pair, test and what ``judged`` gives: every pair of engines by macro-F1 on each slice and by precision and recall of each
+    finding code, corrected together. The family is the whole set, never a pair's own."""
+    out = []
+    for k, first in enumerate(engines):
+        for second in engines[k + 1 :]:
+            labels = macro_f1_null(rows, cluster, first, second, slices).withColumn("test", F.concat(F.lit("macro_f1/"), "slice"))
+            both = labels.select("test", "mask", "first_score", "second_score", "n_clusters").unionByName(finding_null(observed, cluster, first, second))
+            out.append(both.withColumn("pair", F.lit(f"{first}_vs_{second}")))
+    return judged(reduce(DataFrame.unionByName, out), "pair", "test")
 
 
 def p_value(null: DataFrame) -> DataFrame:

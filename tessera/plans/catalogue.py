@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import dims
 from tessera.functions import text as T
-from tessera.operators import decide, groups, metrics, rules, statistics
+from tessera.operators import corpus, decide, groups, metrics, rules, statistics
 from tessera.plans import feeds
 from tessera.sources import html
 from tessera.streaming import live
@@ -590,10 +590,21 @@ def corpus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir)
 
 
-@query(f"WITH g AS ({_GRID}) SELECT CASE WHEN template < 5 AND locale = 'fr-FR' THEN 'excluded' WHEN template < 5 THEN 'train' WHEN template = 5 THEN 'dev' ELSE 'test' END AS part, count(*) AS cells, CAST(sum(n) AS BIGINT) AS forms FROM g GROUP BY 1")
+_DEALT = f"""WITH g AS ({_GRID}), t AS (SELECT family, template, CAST(row_number() OVER (PARTITION BY family ORDER BY md5('7|' || family || '|' || template), template) AS INT) AS place FROM (SELECT DISTINCT family, template FROM g)),
+    d AS (SELECT *, CASE WHEN place <= 5 THEN 'train' WHEN place = 6 THEN 'dev' ELSE 'test' END AS part FROM t)"""
+
+
+@query(_DEALT + " SELECT * FROM d")
+def template_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family's templates in a shuffled order, dealt to train, dev and test."""
+    return corpus.deal_templates(_grid(spark, sf_dir))
+
+
+@query(_DEALT + f" SELECT CASE WHEN part = 'train' AND locale = '{dims.HELD_OUT_LOCALE}' THEN 'excluded' ELSE part END AS part, count(*) AS cells, CAST(sum(n) AS BIGINT) AS forms FROM g JOIN d USING (family, template) GROUP BY 1")
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.when((F.col("template") < 5) & (F.col("locale") == dims.HELD_OUT_LOCALE), "excluded").when(F.col("template") < 5, "train").when(F.col("template") == 5, "dev").otherwise("test")
-    return _grid(spark, sf_dir).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("forms"))
+    grid = _grid(spark, sf_dir).join(F.broadcast(corpus.deal_templates(_grid(spark, sf_dir)).select("family", "template", "part")), ["family", "template"])  # some rows a family
+    part = F.when((F.col("part") == "train") & (F.col("locale") == dims.HELD_OUT_LOCALE), "excluded").otherwise(F.col("part"))
+    return grid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("forms"))
 
 
 # ---- truth, prompts, calls --------------------------------------------------------------------------------------

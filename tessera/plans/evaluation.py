@@ -100,6 +100,45 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in statistics.VERDICTS], "verdict string").join(n, "verdict", "left").select("verdict", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: A third engine beside the two of the run log.
+_ENGINES = ("rules", "ngram", "model")
+_THREE = feeds.RUNLOG.replace("SELECT 1 AS k, 'ngram' AS engine)", "SELECT 1 AS k, 'ngram' AS engine UNION ALL SELECT 2 AS k, 'model' AS engine)")
+_SAID = "CASE WHEN form_id % 2 = 0 THEN 'MISSING_AUTOCOMPLETE' ELSE 'WRONG_AUTOCOMPLETE' END"
+_PAIRS = ", ".join(f"('{a}', '{b}')" for k, a in enumerate(_ENGINES) for b in _ENGINES[k + 1 :])
+_SWAP = lambda c: f"sum(CASE WHEN (mask >> bit::INT) & 1 = 1 THEN {c}_b ELSE {c}_a END) AS {c}_a, sum(CASE WHEN (mask >> bit::INT) & 1 = 1 THEN {c}_a ELSE {c}_b END) AS {c}_b"
+_BOTH = lambda c, own: f"coalesce(sum({own}) FILTER (WHERE engine = first), 0) AS {c}_a, coalesce(sum({own}) FILTER (WHERE engine = second), 0) AS {c}_b"
+_ALL_PAIRS = f"""WITH r AS ({_THREE}), pairs(first, second) AS (VALUES {_PAIRS}), x AS ({' UNION ALL '.join(f"SELECT '{n}' AS slice, * FROM r WHERE {k}" for n, k in _SLICES.items())}),
+    l AS (SELECT slice, cluster, engine, true_label AS label, CASE WHEN true_label = pred_label THEN 1 ELSE 0 END AS tp FROM x UNION ALL SELECT slice, cluster, engine, pred_label, 0 FROM x),
+    k AS (SELECT first, second, slice, cluster, label, {_BOTH("tp", "tp")}, {_BOTH("w", "1")} FROM l JOIN pairs ON engine IN (first, second) GROUP BY ALL),
+    z AS (SELECT *, dense_rank() OVER (PARTITION BY first, second, slice ORDER BY cluster) - 1 AS bit FROM k), q AS (SELECT first, second, slice, max(bit) + 1 AS n FROM z GROUP BY ALL),
+    m AS (SELECT first, second, slice, unnest(range(0, (2 ** n)::BIGINT)) AS mask FROM q),
+    y AS (SELECT first, second, slice, mask, label, {_SWAP("tp")}, {_SWAP("w")} FROM m JOIN z USING (first, second, slice) GROUP BY ALL),
+    fk AS (SELECT first, second, {_SAID} AS slice, cluster, {_BOTH("c", "CASE WHEN pred_label = 'good' AND true_label = 'good' THEN 1 ELSE 0 END")}, {_BOTH("e", "CASE WHEN pred_label = 'good' THEN 1 ELSE 0 END")}, {_BOTH("n", "CASE WHEN true_label = 'good' THEN 1 ELSE 0 END")}
+           FROM r JOIN pairs ON engine IN (first, second) GROUP BY ALL),
+    fz AS (SELECT *, row_number() OVER (PARTITION BY first, second, slice ORDER BY cluster) - 1 AS bit FROM fk), fq AS (SELECT first, second, slice, max(bit) + 1 AS n FROM fz GROUP BY ALL),
+    fm AS (SELECT first, second, slice, unnest(range(0, (2 ** n)::BIGINT)) AS mask FROM fq),
+    fy AS (SELECT first, second, slice, mask, {_SWAP("c")}, {_SWAP("e")}, {_SWAP("n")} FROM fm JOIN fz USING (first, second, slice) GROUP BY ALL),
+    d AS (SELECT first, second, 'macro_f1/' || slice AS test, mask, avg(2.0::DOUBLE * tp_a / nullif(w_a, 0)) AS first_score, avg(2.0::DOUBLE * tp_b / nullif(w_b, 0)) AS second_score FROM y GROUP BY ALL
+          UNION ALL SELECT first, second, slice || '/precision', mask, coalesce(c_a::DOUBLE / nullif(e_a, 0), 0), coalesce(c_b::DOUBLE / nullif(e_b, 0), 0) FROM fy
+          UNION ALL SELECT first, second, slice || '/recall', mask, coalesce(c_a::DOUBLE / nullif(n_a, 0), 0), coalesce(c_b::DOUBLE / nullif(n_b, 0), 0) FROM fy),
+    o AS (SELECT *, second_score - first_score AS effect FROM d WHERE mask = 0),
+    t AS (SELECT first || '_vs_' || second AS pair, test, any_value(o.first_score) AS first_score, any_value(o.second_score) AS second_score, any_value(o.effect) AS effect, 2.0::DOUBLE / count(*) AS floor,
+                 avg(CASE WHEN abs(d.second_score - d.first_score) >= abs(o.effect) - 1e-12 THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM d JOIN o USING (first, second, test) GROUP BY first, second, test),
+    i AS (SELECT *, row_number() OVER (ORDER BY p, pair, test) AS nth, count(*) OVER () AS size FROM t),
+    a AS (SELECT i.*, least(1.0, (SELECT min(b.p * b.size / b.nth) FROM i b WHERE b.nth >= i.nth)) AS p_adjusted FROM i),
+    v AS (SELECT *, CASE WHEN floor > 0.05 THEN 'UNDERPOWERED' WHEN p_adjusted < 0.05 AND effect >= 0.02 THEN 'IMPROVEMENT' WHEN p_adjusted < 0.05 AND effect <= -0.02 THEN 'REGRESSION' WHEN p_adjusted < 0.05 THEN 'BELOW_THRESHOLD' ELSE 'NO_CHANGE' END AS verdict FROM a)"""
+
+
+@query(_ALL_PAIRS + " SELECT pair, test, round(first_score, 6) AS first_score, round(second_score, 6) AS second_score, round(effect, 6) AS effect, round(p, 6) AS p, round(floor, 6) AS floor, round(p_adjusted, 6) AS p_adjusted, verdict FROM v")
+def all_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three engines, eleven tests a pair, one family."""
+    rows = feeds.prepared(spark, sf_dir, _THREE, "documents", "labels")
+    good = lambda c: F.col(c) == "good"
+    observed = rows.select("engine", "cluster", F.expr(_SAID).alias("code"), good("true_label").alias("needed"), good("pred_label").alias("emitted"), good("true_label").alias("correct"))
+    tests = statistics.all_pairs(rows, observed, "cluster", list(_ENGINES), {n: F.expr(k) for n, k in _SLICES.items()})
+    return tests.select("pair", "test", *(F.round(c, 6).alias(c) for c in ("first_score", "second_score", "effect", "p", "floor", "p_adjusted")), "verdict")
+
+
 @query(f"WITH {R}, e AS (SELECT engine, sum(latency_us) AS spent, count(*) AS n FROM r GROUP BY 1) SELECT engine, round(spent / n, 6) AS us_per_field, round(spent / sum(spent) OVER (), 6) AS share FROM e")
 def phase_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time a field and share of all time, an engine standing for a phase; one row a phase meets the total."""
