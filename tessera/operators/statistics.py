@@ -21,20 +21,13 @@ ALPHA, PRACTICAL = 0.05, 0.02
 
 def null_distribution(rows: DataFrame, cluster: str, first: str, second: str) -> DataFrame:
     """mask, difference: second minus first accuracy with the clusters of a mask swapped. Mask 0 is as observed."""
-    spark = rows.sparkSession
     hit = (F.col("true_label") == F.col("pred_label")).cast("long")
     side = lambda engine: F.sum(F.when(F.col("engine") == engine, hit).otherwise(0))
     size = F.sum(F.when(F.col("engine") == first, 1).otherwise(0))
     counts = rows.groupBy(cluster).agg(side(first).alias("a"), side(second).alias("b"), size.alias("n"))
     counts = counts.withColumn("bit", F.row_number().over(Window.orderBy(cluster)) - 1)  # one row a cluster
-    k = counts.count()
-    if 2**k <= EXHAUSTIVE:
-        masks = spark.range(2**k).withColumnRenamed("id", "mask")
-        swap = F.expr("shiftright(mask, bit) & 1") == 1
-    else:  # draws by a hash of mask and cluster; the first is as observed
-        masks = spark.range(SAMPLED + 1).withColumnRenamed("id", "mask")
-        swap = (F.col("mask") > 0) & (F.pmod(F.xxhash64("mask", "bit", F.lit(SEED)), F.lit(2)) == 1)
-    met = masks.crossJoin(F.broadcast(counts))  # masks x clusters, both bounded
+    met = _swapped(counts.withColumn("family", F.lit("all")), "family")
+    swap = F.col("swap")
     return met.groupBy("mask").agg((F.sum(F.when(swap, F.col("a") - F.col("b")).otherwise(F.col("b") - F.col("a"))) / F.sum("n")).alias("difference"))
 
 

@@ -11,7 +11,7 @@ from tessera.operators import pages as page_audit
 from tessera.operators import resolve
 from tessera.plans import feeds
 from tessera.plans.catalogue import _FOUND, _stream, query
-from tessera.sources import forest
+from tessera.sources import descriptors, forest
 
 _PAIR = "page_id % 4 = 2 AND k IN (3, 4) AND halves = 2"
 #: A page's controls as the page says them: what the markup cannot hold is left out of the feed's columns.
@@ -170,3 +170,29 @@ def selector_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every selector that the pages' fields got, looked up in the pages again: it names one element, the right one."""
     pages = feed_pages(spark, sf_dir)
     return resolve.resolution(forest.elements(pages), forest.nodes(pages).filter("kind <> 'page'").select("page_id", "selector"))
+
+
+_BREAKS = ("{0}", "replace({0}, '\"document_index\":', '\"document_index\":\"x\",\"was\":')", "replace({0}, '\"tag\":', '\"gat\":')", "substr({0}, 1, 40)", "replace({0}, '\"text\":', '\"text\":null,\"more\":')", "concat('[', {0}, ']')")
+_BROKEN = "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {b.format('content')}" for k, b in enumerate(_BREAKS)) + " END"
+_DOCUMENT = lambda index, tag, texts: f"""to_json({{'autocomplete_raw': {{keep}}autocomplete_raw END, 'css_classes': []::VARCHAR[], 'data_keys': []::VARCHAR[], 'disabled': false, 'document_index': {index}, 'element_id': {{keep}}element_id END,
+    'fieldset_index': {{keep}}CASE WHEN pair THEN k - 3 END END, 'form_index': {{keep}}form_index END, 'frame_path': CASE WHEN framed AND {{here}} THEN ['frame[#pay]'] ELSE []::VARCHAR[] END, 'group_id': {{keep}}NULL::VARCHAR END, 'group_role': {{keep}}NULL::VARCHAR END,
+    'input_type': {{keep}}input_type END, 'inputmode': {{keep}}inputmode END, 'maxlength': {{keep}}maxlength END, 'name': {{keep}}name END, 'option_labels': {{options}}, 'option_values': {{options}}, 'pattern': NULL::VARCHAR, 'readonly': false, 'required': false,
+    'selector': CASE WHEN {{here}} THEN selector ELSE '' END, 'shadow_path': CASE WHEN shadowed AND {{here}} THEN ['#h5'] ELSE []::VARCHAR[] END, 'tag': {tag}, 'text': {texts}, 'undetectable_reason': {{keep}}undetectable_reason END}})"""
+_TEXTS = lambda keep: "{" + ", ".join(f"'{n}': CASE WHEN {keep} THEN {x} END" for n, x in (("aria_describedby_text", "NULL::VARCHAR"), ("aria_label", "aria_label"), ("aria_labelledby_text", "aria_labelledby_text"), ("form_accessible_name", "NULL::VARCHAR"), ("label_ancestor", "label_ancestor"), ("label_for", "label_for"), ("legend", "legend"), ("placeholder", "placeholder"), ("preceding_text", "nullif(preceding_text, '')"), ("section_heading", "section_heading"), ("title", "title"))) + "}"
+_HERE = "page_id % 6 NOT IN (3, 5)"
+_LENIENT = (
+    _DOCUMENT("CASE WHEN page_id % 6 IN (1, 3, 5) THEN 0 ELSE document_index END", "CASE WHEN page_id % 6 IN (2, 3, 5) THEN '' ELSE tag END", _TEXTS("page_id % 6 NOT IN (3, 4, 5)"))
+    .replace("{keep}", f"CASE WHEN {_HERE} THEN ").replace("{here}", _HERE)
+    .replace("{options}", f"CASE WHEN pair AND {_HERE} THEN CASE k WHEN 3 THEN [lpad(i::VARCHAR, 2, '0') FOR i IN range(1, 13)] ELSE [i::VARCHAR FOR i IN range(2026, 2031)] END ELSE []::VARCHAR[] END")
+)
+
+
+@query(f"""WITH {_PLACED.replace("count(CASE WHEN NOT shadowed", "CASE WHEN form_key IS NOT NULL THEN CAST(count(form_key) OVER (PARTITION BY page_id, form_of ORDER BY k) - 1 AS INT) END AS form_index, count(CASE WHEN NOT shadowed")}
+    SELECT page_id, c.selector AS of, CASE page_id % 6 WHEN 1 THEN 'document_index: int expected' WHEN 2 THEN 'tag: missing' WHEN 3 THEN 'not_json' WHEN 4 THEN 'text: object expected' WHEN 5 THEN 'not_object' END AS problem,
+           md5({_LENIENT}::VARCHAR) AS read_md5 FROM c WHERE undetectable_reason IS NULL""")
+def descriptor_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' controls as JSON documents, some of them broken: what a strict reader says, and what a lenient one reads."""
+    rows = forest.nodes(feed_pages(spark, sf_dir)).filter("kind = 'control'")
+    rows = rows.withColumns({"group_id": F.lit(None).cast("string"), "group_role": F.lit(None).cast("string")}).select("page_id", F.col("selector").alias("of"), descriptors.written().alias("content"))
+    read = descriptors.read(rows.withColumn("content", F.expr(_BROKEN)))
+    return read.select("page_id", "of", "problem", F.md5(F.to_json("document", {"ignoreNullFields": "false"})).alias("read_md5"))
