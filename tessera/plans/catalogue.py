@@ -623,9 +623,9 @@ def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.dim_label(spark).select("label").join(n, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _payload(c: DataFrame) -> DataFrame:
+def _payload(c: DataFrame, *also: str) -> DataFrame:
     clip = lambda x: F.nullif(F.substring(F.trim(F.col(x)), 1, 40), F.lit("")).alias(x)
-    return c.select("page_id", "document_index", F.to_json(F.struct(clip("tag"), clip("input_type"), clip("name"), clip("element_id"), clip("label_for"), clip("placeholder"), clip("section_heading"))).alias("payload"))
+    return c.select("page_id", "document_index", *also, F.to_json(F.struct(clip("tag"), clip("input_type"), clip("name"), clip("element_id"), clip("label_for"), clip("placeholder"), clip("section_heading"))).alias("payload"))
 
 
 @query()
@@ -636,11 +636,16 @@ def prompt_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("chunk", chunk).groupBy("page_id", "chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("document_index", "payload"))), lambda x: x["payload"]), "\n").alias("prompt"))
 
 
-@query("SELECT 0::BIGINT AS leaks")
+_CLIPPED = ", ".join(f"nullif(substr(trim({c}), 1, 40), '')" for c in ("tag", "input_type", "name", "element_id", "label_for", "placeholder", "section_heading"))
+
+
+@query(f"WITH {C}, b AS ({_BASE}) SELECT count(*) FILTER (WHERE autocomplete_raw <> '' AND list_contains([{_CLIPPED}], autocomplete_raw)) AS leaks, count(*) FILTER (WHERE token <> '' AND list_contains([{_CLIPPED}], token)) AS coincidences FROM b")
 def declaration_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads that change when the declaration is taken away: none may."""
+    """Payloads, as text, that hold a control's declaration (leaks: none may), or its token where another attribute happens to say the same."""
     c = feeds.feed_controls(spark, sf_dir)
-    return _payload(c).exceptAll(_payload(c.withColumn("autocomplete_raw", F.lit(None).cast("string")))).agg(F.count(F.lit(1)).alias("leaks"))
+    p = _payload(c.select("*", T.declaration(F.col("autocomplete_raw"))["token"].alias("token")), "autocomplete_raw", "token")
+    says = lambda x: F.coalesce((F.col(x) != "") & F.col("payload").contains(F.concat(F.lit(':"'), x, F.lit('"'))), F.lit(False))
+    return p.agg(F.count_if(says("autocomplete_raw")).alias("leaks"), F.count_if(says("token")).alias("coincidences"))
 
 
 @query("WITH t AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS follows FROM conversations) SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS calls, count(*) FILTER (WHERE role = 'user' AND follows IS DISTINCT FROM 'assistant') AS unresolved FROM t GROUP BY 1")
