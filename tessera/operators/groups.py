@@ -19,7 +19,8 @@ def _names(words: tuple[str, ...]) -> Column:
 
 def _half(controls: DataFrame, words: tuple[str, ...], listed) -> Column:
     """Whether a control is one half of an expiry: a select by its options, a plain input by its words."""
-    options = listed(F.col("option_values")) if "option_values" in controls.columns else F.lit(False)
+    lists = [F.coalesce(listed(F.col(c)), F.lit(False)) for c in ("option_values", "option_labels") if c in controls.columns]
+    options = F.greatest(*lists, F.lit(False), F.lit(False))  # what is sent or what is shown
     plain = (F.col("tag") == "input") & F.coalesce("input_type", F.lit("text")).isin("text", "number", "tel")
     return F.when(F.col("tag") == "select", F.coalesce(options, F.lit(False))).otherwise(plain & _names(words))
 

@@ -628,7 +628,11 @@ def _payload(c: DataFrame, *also: str) -> DataFrame:
     return c.select("page_id", "document_index", *also, F.to_json(F.struct(clip("tag"), clip("input_type"), clip("name"), clip("element_id"), clip("label_for"), clip("placeholder"), clip("section_heading"))).alias("payload"))
 
 
-@query()
+_PAYLOAD = "'{' || concat_ws(',', " + ", ".join(f"""'"{c}":"' || nullif(substr(trim({c}), 1, 40), '') || '"'""" for c in ("tag", "input_type", "name", "element_id", "label_for", "placeholder", "section_heading")) + ") || '}'"
+
+
+@query(f"""WITH {C}, p AS (SELECT page_id, document_index, {_PAYLOAD} AS payload, CAST(floor((row_number() OVER (PARTITION BY page_id ORDER BY document_index) - 1) / 40) AS BIGINT) AS chunk FROM c)
+    SELECT page_id, chunk, string_agg(payload, chr(10) ORDER BY document_index, payload) AS prompt FROM p GROUP BY 1, 2""")
 def prompt_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a language model would be asked, in chunks of at most 40 controls of a page, without declarations."""
     p = _payload(feeds.feed_controls(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import dims
 from tessera.functions import text as T
-from tessera.operators import corpus, decide, observe, rules, statistics
+from tessera.operators import report, corpus, decide, observe, rules, statistics
 from tessera.plans import feeds
 from tessera.plans.catalogue import _AGREE, _ADVICE, _FOUND, _PREDICT, _TRAP, C, R, _findings, _predicted, _visible_predicted, query, rendered
 from tessera.sources import html
@@ -284,3 +284,17 @@ def honeypots_on_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = F.greatest(*(F.coalesce(c, F.lit(False)) for c in ("style_hidden", "zero_size", "offscreen")))
     traps = _predicted(spark, sf_dir).filter(hidden & F.col("undetectable_reason").isNull())
     return traps.groupBy("page_id").agg(F.count(F.lit(1)).alias("traps"), F.count_if(~F.col("label").isin("UNKNOWN", "NOT_AUTOFILLABLE")).alias("traps_that_read_as_data"))
+
+
+_HTML = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_REPORT_FIX = f"""fix(code, said) AS {dims.values_sql(list(dims.FIXES.items()), "x(code, said)").replace("(VALUES", "(SELECT * FROM (VALUES") + ")"}"""
+_REPORT_SAID = f"""replace(replace(replace(replace(said, '{{wanted}}', CASE WHEN confidence >= 0.7 THEN coalesce(declared_as, '{dims.OPEN}') ELSE '{dims.OPEN}' END),
+                  '{{declared}}', coalesce(token, '')), '{{raw}}', coalesce(autocomplete_raw, '')), '{{selector}}', selector)"""
+
+
+@query(f"""WITH {_FOUND}, {_REPORT_FIX}, x AS (SELECT page_id, severity, severity_rank, document_index, found.code, '<li class="' || severity || '"><code>' || {_HTML("selector")} || '</code> ' || found.code || ': ' || {_HTML(_REPORT_SAID)} || '</li>' AS item FROM found JOIN fix ON found.code = fix.code),
+    y AS (SELECT page_id, severity, severity_rank, '<section><h2>' || severity || ' (' || count(*) || ')</h2><ul>' || string_agg(item, '' ORDER BY document_index, code) || '</ul></section>' AS part FROM x GROUP BY 1, 2, 3)
+    SELECT page_id, '<!doctype html><html><head><meta charset="utf-8"><title>Page ' || page_id || '</title></head><body><h1>Page ' || page_id || '</h1>' || string_agg(part, '' ORDER BY severity_rank) || '</body></html>' AS report FROM y GROUP BY 1""")
+def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's findings as an HTML document, a section a severity, with what to do about each."""
+    return report.html_report(_findings(spark, sf_dir))

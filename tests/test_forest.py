@@ -145,3 +145,19 @@ def test_audit_of_pages(spark):
     assert asked > 0
     notes = {r.page_id: (r.controls_seen, r.roots) for r in pages.page_notes(table).collect()}
     assert notes == {1: (4, 1), 2: (0, 1), None: (1, 1)}
+
+
+def test_months_by_what_is_shown(spark):
+    months = "".join(f"<option value='m{m}'>{m:02d}" for m in range(1, 13))
+    html = f"<div><select id='a'>{months}</select><input id='b' name='expiry-year'></div>"
+    rows = pages.fields(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert [r.group_role for r in rows.orderBy("document_index").collect()] == ["cc_exp_month", "cc_exp_year"]
+
+
+def test_html_report_escapes(spark):
+    from tessera.operators import report
+
+    row = (1, 0, "warning", 1, 'a[x="1"]', "UNLABELED_FIELD", "say <b> & \"more\"")
+    found = spark.createDataFrame([row], "page_id long, document_index int, severity string, severity_rank int, selector string, code string, fix string")
+    text = report.html_report(found).first().report
+    assert "a[x=&quot;1&quot;]" in text and "&lt;b&gt; &amp; &quot;more&quot;" in text and "<h2>warning (1)</h2>" in text
