@@ -37,7 +37,7 @@ START = "▁"
 #: Parts that a worker remembers with their n best.
 SEARCHED = 20_000
 #: Parts that a worker remembers with their best.
-REMEMBERED = 280_000
+REMEMBERED = 800_000
 
 
 class Pieces:
