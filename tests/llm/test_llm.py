@@ -308,7 +308,7 @@ def test_imatch(spark):
 def test_queries_run(spark, small):
     from tessera.llm.registry import QUERIES
 
-    assert len(QUERIES) == 10
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     rows = QUERIES["op10_imatch"](spark, small).collect()
     texts = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()), reverse=True)
     for i, (doc, text) in enumerate(texts):
