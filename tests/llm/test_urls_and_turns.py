@@ -141,7 +141,7 @@ def conversations(seed):
     for c in range(150):
         if c % 20 == 0 and c % 3 == 0:
             continue
-        for t in range(rng.choice((0, 1, 2, 3, 5, 8)) if c % 7 else 60):
+        for t in range(rng.choice((0, 1, 2, 3, 5, 8)) if c % 7 else 16):
             rows.append((c, t, rng.choice(("user", "assistant")), rng.choice(("yes", "no no", " a\tb ", "", "x" * 2000)) if rng.random() < 0.9 else f"own {c} {t}"))
     return rows
 
