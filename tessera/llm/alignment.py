@@ -142,17 +142,26 @@ def intact(library: Tokenizers, part: str, a: list[int], b: list[int]) -> bool:
     return b"".join(map(library.a_bytes.__getitem__, a)) == part.encode() == b"".join(map(library.b_bytes.__getitem__, b))
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Counts and numbers (none is negative) in 32 bits if all of them fit."""
+    return values.astype(np.int64 if len(values) and values.max() > np.iinfo(np.int32).max else np.int32)
+
+
 class _Growing:
-    """An array that grows at its end."""
+    """An array that grows at its end, of 32-bit numbers as long as all of them fit."""
 
     def __init__(self):
-        self.values, self.n = np.empty(1024, np.int64), 0
+        self.values, self.n = np.empty(1024, np.int32), 0
 
     def extend(self, more) -> None:
-        while self.n + len(more) > len(self.values):
-            self.values = np.concatenate([self.values, np.empty_like(self.values)])
-        self.values[self.n : self.n + len(more)] = more
-        self.n += len(more)
+        more = _narrow(np.asarray(more))
+        kind, end = np.promote_types(self.values.dtype, more.dtype), self.n + len(more)
+        if end > len(self.values) or kind != self.values.dtype:
+            values = np.empty(max(len(self.values), end + end // 4), kind)
+            values[: self.n] = self.values[: self.n]
+            self.values = values
+        self.values[self.n : end] = more
+        self.n = end
 
 
 class _Index(dict):
@@ -231,7 +240,7 @@ class Parts:
         a_text, b_text = list(map(self.a_text.__getitem__, a.tolist())), list(map(self.b_text.__getitem__, b.tolist()))
         groups = [f"{','.join(a_text[p:q])}|{','.join(b_text[r:s])}" for p, q, r, s in zip(i0.tolist(), i1.tolist(), j0.tolist(), j1.tolist(), strict=True)]
         ends = np.cumsum(n_groups).tolist()
-        self.texts += [";".join(groups[p:q]) for p, q in zip([0, *ends[:-1]], ends, strict=True)]
+        self.texts += [";".join(groups[p:q]).encode() for p, q in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def text_parts(text: str | None) -> list[str]:
@@ -249,7 +258,7 @@ def _batch(doc_texts: list[str | None], parts: Parts) -> tuple[dict, np.ndarray,
     if not whole[: len(parts.texts)].all():
         own = [x if whole[x].all() else [] for x in own]
     texts = parts.texts.__getitem__
-    digests = [hashlib.sha256(";".join(map(texts, x)).encode()).hexdigest() if x else "" for x in own]
+    digests = [hashlib.sha256(b";".join(map(texts, x))).hexdigest() if x else "" for x in own]
     n, many = len(own), max(1, len(parts.texts))
     doc = np.repeat(np.arange(n), [len(x) for x in own])
     each, times = np.unique(doc * many + np.fromiter(chain.from_iterable(own), np.int64, len(doc)), return_counts=True)
@@ -286,18 +295,20 @@ def _rows(n: int, columns: dict) -> pa.RecordBatch:
 
 
 def _chunk(number: int, gathered: list, n_b: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a chunk: its documents, then its dictionary."""
+    """The rows of a chunk: its documents, then its dictionary. Entries are looked up a batch at a time: no array is as long as the chunk."""
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1).compress
-    keys, slots, docs = np.unique(np.concatenate([g[2] for g in gathered]), return_inverse=True, return_counts=True)
-    at = 0
-    for columns, doc, own, weights in gathered:
-        n = len(columns["doc_id"])
-        cuts = np.searchsorted(doc, np.arange(n + 1))
-        pairs = [press(_packed(slots[at + i : at + j], weights[i:j])) if j > i else b"" for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    keys = np.empty(0, np.int32)
+    for _, _, own, _ in gathered:
+        keys = np.union1d(keys, own)
+    docs = np.zeros(len(keys), np.int64)
+    while gathered:
+        columns, cuts, own, weights = gathered.pop(0)
+        slots, n = np.searchsorted(keys, own), len(columns["doc_id"])
+        docs += np.bincount(slots, minlength=len(keys))
+        pairs = [press(_packed(slots[i:j], weights[i:j])) if j > i else b"" for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         yield _rows(n, columns | {"chunk": np.full(n, number), "pairs": pairs})
-        at += len(own)
     for i in range(0, len(keys), 50_000):
         k = keys[i : i + 50_000]
         yield _rows(len(k), {"chunk": np.full(len(k), number), "slot": np.arange(i, i + len(k)), "a": k // n_b, "b": k % n_b, "docs": docs[i : i + 50_000]})
@@ -308,9 +319,10 @@ def _linker(a_path: str | None, b_path: str | None, entries: int):
         parts, gathered, held = Parts(Tokenizers(a_path, b_path)), [], 0
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            columns, *pairs = _batch(batch.column("text").to_pylist(), parts)
-            gathered.append((columns | {"doc_id": batch.column("doc_id")}, *pairs))
-            held += len(pairs[0])
+            columns, doc, own, weights = _batch(batch.column("text").to_pylist(), parts)
+            cuts = np.searchsorted(doc, np.arange(len(batch) + 1))
+            gathered.append((columns | {"doc_id": batch.column("doc_id")}, cuts, _narrow(own), _narrow(weights)))
+            held += len(own)
             if held >= entries:
                 yield from _chunk(number, gathered, parts.library.n_b)
                 number, gathered, held = number + 1, [], 0

@@ -2,8 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
+import types
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +100,38 @@ def test_long_groups_as_products(library, monkeypatch):
     assert all(list(own[c]) == list(same[c]) for c in own) and all((x == y).all() for x, y in zip(pairs, again, strict=True))
 
 
+def test_chunks_take_little_memory(monkeypatch):
+    """A chunk's entries are held in 8 bytes, and its dictionary is built without arrays as long as the chunk."""
+    rng, seen, chunk = random.Random(3), [], al._chunk
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(1500)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(1024)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": range(i, i + 128), "text": texts[i : i + 128]}) for i in range(0, 1024, 128)]
+
+    def traced(number, gathered, n_b):
+        entries, held = sum(len(g[2]) for g in gathered), sum(x.nbytes for g in gathered for x in g[1:])
+        tracemalloc.start()
+        for _ in chunk(number, gathered, n_b):
+            seen.append((entries, held, tracemalloc.get_traced_memory()[1]))
+            yield _
+        tracemalloc.stop()
+
+    monkeypatch.setattr(al, "_chunk", traced)
+    monkeypatch.setattr(al, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    assert sum(b.column("doc_id").null_count == 0 for b in al._linker(None, None, al.CHUNK_ENTRIES)(iter(batches))) == 8
+    entries, held, most = seen[7]
+    assert entries > 300_000 and held < 10 * entries and most < 30 * entries
+
+
+def test_numbers_beyond_32_bits_are_kept():
+    grown = al._Growing()
+    grown.extend([3, 2**31 - 1])
+    assert grown.values.dtype == np.int32
+    grown.extend(np.array([2.0**40]))
+    grown.extend([])
+    grown.extend(range(5000))
+    assert grown.values[: grown.n].tolist() == [3, 2**31 - 1, 2**40, *range(5000)]
+
+
 def test_groups_cover_the_bytes(spark, library):
     rows = spark.createDataFrame(list(enumerate(AWKWARD)), "doc_id long, text string").withColumn("groups", F.lit("clash"))
     for r in al.alignments(rows).collect():
