@@ -74,11 +74,12 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
     return F.when(equal, 1.0).when(used == 0, 0.0).otherwise(same / used)
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
     """The rows (doc_id, text, ...) with ``next_<column>`` of the row after each by descending doc_id.
 
     Ids are dealt to ranges; the first rows of a range are copied to the end of the range before it,
-    so that each range finds all its successors by itself.
+    so that each range finds all its successors by itself. Columns of ``made`` follow from a row's own;
+    they and their ``next_`` are made where the rows were dealt to, so that the shuffle does not carry them.
     """
     keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(_LOWEST)))
     n, least, most = keyed.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
@@ -96,9 +97,13 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     at = lambda where, ghost: F.struct(where.alias("range"), F.lit(ghost).alias("ghost"))
     places = F.when(F.col("key") == F.col("edge"), F.array(at(F.col("range"), False), at(F.col("before"), True))).otherwise(F.array(at(F.col("range"), False)))
     dealt = keyed.join(F.broadcast(edges), "range").select(*rows.columns, "key", F.explode(places).alias("place"))
-    order = Window.partitionBy("place.range").orderBy("place.ghost", F.desc("key"), "text")
-    follow = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return follow.filter(~F.col("place.ghost")).drop("key", "place")
+    dealt = dealt.select(*rows.columns, "key", "place.range", "place.ghost")  # plain columns: both windows are seen to be in one order
+    order = Window.partitionBy("range").orderBy("ghost", F.desc("key"), "text")
+    leads = lambda names: [F.lead(c).over(order).alias(f"next_{c}") for c in names]
+    follow = dealt.select("*", *leads(columns))
+    if made:
+        follow = follow.withColumns(made).select("*", *leads(made))  # in the same order: no second shuffle or sort
+    return follow.filter(~F.col("ghost")).drop("key", "range", "ghost")
 
 
 def _text(fingerprint: Column) -> Column:
@@ -108,7 +113,7 @@ def _text(fingerprint: Column) -> Column:
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kept = lexicon(docs)
-    rows = with_next(docs.withColumn("print", fingerprint("text", kept)), ["text", "print"])
+    rows = with_next(docs, ["text"], {"print": fingerprint("text", kept)})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited)

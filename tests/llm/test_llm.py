@@ -305,6 +305,18 @@ def test_imatch(spark):
     assert prints.count() == 0 and imatch.with_next(docs.limit(0), ["text"]).count() == 0
 
 
+def test_imatch_shuffles_texts_alone(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    made = {"print": imatch.fingerprint("text", imatch.lexicon(docs))}
+    moved, beside = imatch.with_next(docs.withColumns(made), ["text", "print"]), imatch.with_next(docs, ["text"], made)
+    assert sorted(map(str, moved.select(*sorted(moved.columns)).collect())) == sorted(map(str, beside.select(*sorted(moved.columns)).collect()))
+    from tessera.llm.registry import QUERIES
+
+    plan = QUERIES["op10_imatch"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("- Exchange hashpartitioning(range")
+    assert above.count("- Window [") == 2 and above.count("- Sort [") == 1 and " AS print#" in above and below and "Exchange hashpartitioning" not in below
+
+
 def test_queries_run(spark, small):
     from tessera.llm.registry import QUERIES
 
