@@ -1,64 +1,20 @@
-"""Shared folders, table access and session settings of the training-data operators."""
+"""Table access and session settings of the training-data operators."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
 import gc
-import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.shared import dropped, scratch, shared_dir, stored  # noqa: F401
+
 #: Rows an Arrow batch carries to a Python worker; a batch of ordinary documents stays near 1 MB.
 ARROW_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session that names none (tests) gets a temporary folder; on a cluster that is an error,
-    as every executor would write to a disk of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there,
-    a lost executor loses nothing, and later joins see true sizes."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    read = spark.read.schema(df.schema).parquet(path)
-    read.stored_at = path
-    return read
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote and nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
