@@ -30,28 +30,35 @@ def written(members: dict = MEMBERS) -> Column:
     return F.to_json(struct(members), {"ignoreNullFields": "false"})
 
 
-def _kind(v: Column) -> Column:
-    """What a variant holds, in the words of MEMBERS; an absent one is 'absent'."""
-    of = F.schema_of_variant(v)
+def _kind(of: Column) -> Column:
+    """What a variant of a schema holds, in the words of MEMBERS; an absent one is 'absent'."""
     return (
-        F.when(v.isNull(), "absent").when(of == "VOID", "null").when(of == "STRING", "string").when(of == "BOOLEAN", "bool").when(of.rlike("^(BIGINT|DECIMAL\\(\\d+,0\\))$"), "int")
+        F.when(of.isNull(), "absent").when(of == "VOID", "null").when(of == "STRING", "string").when(of == "BOOLEAN", "bool").when(of.rlike("^(BIGINT|DECIMAL\\(\\d+,0\\))$"), "int")
         .when(of.isin("ARRAY<STRING>", "ARRAY<VOID>"), "strings").when(of.startswith("OBJECT"), "object").otherwise("other")
     )
 
 
+def _paths(members: dict, path: str = "$") -> list[str]:
+    return [x for name, kind in members.items() for x in (f"{path}.{name}", *(_paths(kind, f"{path}.{name}") if isinstance(kind, dict) else ()))]
+
+
 def read(rows: DataFrame, members: dict = MEMBERS, content: str = "content") -> DataFrame:
     """``rows`` with ``problem`` and ``document``. problem: why a strict reader refuses the text (not_json, not_object, or the first
     member, by name, that is missing, of another kind or unknown), else null. document: a struct of what can be read, defaults for the rest."""
-    parsed = rows.withColumn("variant", F.try_parse_json(content))
+    places = {path: k for k, path in enumerate(("$", *_paths(members)))}
+    # Generators, as in rules.signals(): a text is parsed once, and a member's kind is found once.
+    parsed = rows.select("*", F.inline(F.array(F.struct(F.try_parse_json(content).alias("variant")))))
+    found_at = F.array(*(F.schema_of_variant(F.try_variant_get("variant", path, "variant")) for path in places))
+    parsed = parsed.select("*", F.inline(F.array(F.struct(F.transform(found_at, _kind).alias("variant_kinds")))))
 
     def at(path: str) -> Column:
-        return F.try_variant_get("variant", path, "variant")
+        return F.col("variant_kinds")[places[path]]
 
     def walk(members: dict, path: str) -> tuple[list[Column], Column]:
         problems, values = [], []
         for name in sorted(members):
             kind, here = members[name], f"{path}.{name}"
-            found, said = _kind(at(here)), here[2:]
+            found, said = at(here), here[2:]
             if isinstance(kind, dict):
                 inner, value = walk(kind, here)
                 problems += [F.when(found == "absent", f"{said}: missing").when(found != "object", f"{said}: object expected"), *inner]
@@ -69,9 +76,9 @@ def read(rows: DataFrame, members: dict = MEMBERS, content: str = "content") ->
         return problems, F.struct(*values)
 
     problems, document = walk(members, "$")
-    whole = _kind(F.col("variant"))
+    whole = at("$")
     first = F.when(whole == "absent", "not_json").when(whole != "object", "not_object").otherwise(F.coalesce(*problems))
-    return parsed.withColumns({"problem": first, "document": document}).drop("variant")
+    return parsed.withColumns({"problem": first, "document": document}).drop("variant", "variant_kinds")
 
 
 def refused(rows: DataFrame) -> DataFrame:
