@@ -47,4 +47,4 @@ def audit_pages(pages: DataFrame, key: DataFrame | None = None, honeypots: bool
 
 def page_notes(pages: DataFrame) -> DataFrame:
     """page_id, controls_seen, roots, truncated, unreadable_frames: what an audit of the page should say about its own limits."""
-    return forest.nodes(pages).filter("kind = 'page'").select("page_id", "controls_seen", "roots", "truncated", "unreadable_frames")
+    return forest.nodes(pages, "page_id", "kind", "controls_seen", "roots", "truncated", "unreadable_frames").filter("kind = 'page'").select("page_id", "controls_seen", "roots", "truncated", "unreadable_frames")

@@ -11,6 +11,7 @@ from tessera.operators import pages as page_audit
 from tessera.operators import resolve
 from tessera.plans import feeds
 from tessera.plans.catalogue import _FOUND, _stream, query
+from tessera.shared import stored
 from tessera.sources import descriptors, forest
 
 _PAIR = "page_id % 4 = 2 AND k IN (3, 4) AND halves = 2"
@@ -100,7 +101,7 @@ def written(c: DataFrame) -> DataFrame:
 
 
 def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.spread(written(feeds.by_page(spark, sf_dir, CONTROLS)))
+    return written(feeds.by_page(spark, sf_dir, CONTROLS, dealt=True))
 
 
 @query(f"""WITH {_PLACED} SELECT page_id, document_index, selector, tag, undetectable_reason, label_for, label_ancestor, aria_labelledby_text, placeholder, nullif(preceding_text, '') AS preceding_text, legend, section_heading,
@@ -168,8 +169,8 @@ def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
            UNION ALL SELECT page_id, '#sign', 1, 'canvas', 'sign' FROM c WHERE page_id % 5 = 0 GROUP BY 1""")
 def selector_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every selector that the pages' fields got, looked up in the pages again: it names one element, the right one."""
-    pages = feed_pages(spark, sf_dir)
-    return resolve.resolution(forest.elements(pages), forest.nodes(pages).filter("kind <> 'page'").select("page_id", "selector"))
+    pages = stored(feed_pages(spark, sf_dir), "pages")  # read twice
+    return resolve.resolution(forest.elements(pages), forest.nodes(pages, "page_id", "kind", "selector").filter("kind <> 'page'").select("page_id", "selector"))
 
 
 _BREAKS = ("{0}", "replace({0}, '\"document_index\":', '\"document_index\":\"x\",\"was\":')", "replace({0}, '\"tag\":', '\"gat\":')", "substr({0}, 1, 40)", "replace({0}, '\"text\":', '\"text\":null,\"more\":')", "concat('[', {0}, ']')")
