@@ -51,3 +51,17 @@ def test_a_row_counts_for_its_controls(spark):
     matrix = lambda df: df.withColumns({"indices": F.array(F.lit(0), F.lit(1)), "values": F.col("probabilities")})
     (a, _), (b, _) = (features.fit_linear(matrix(df), 2, 1.0) for df in (times, each))
     assert abs(a.coefficientMatrix.toArray() - b.coefficientMatrix.toArray()).max() < 1e-4
+
+
+def test_merged_rows_weigh_as_single_ones(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rng = random.Random(9)
+    rows = [(float(k % 3), [rng.random(), 5 * rng.random()], float(rng.randrange(1, 30))) for k in range(12)]
+    times = spark.createDataFrame(rows, "y double, x array<double>, n double").withColumn("features", array_to_vector("x"))
+    each = times.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    whole, squares = sum(n for *_, n in rows), sum(n * n for *_, n in rows)
+    fit = lambda df, penalty, **more: LogisticRegression(labelCol="y", family="multinomial", regParam=penalty, maxIter=300, tol=1e-10, **more).fit(df).coefficientMatrix.toArray()
+    single, merged = fit(each, 0.1), fit(times, features.merged_penalty(0.1, whole, squares), weightCol="n")
+    assert abs(single - merged).max() < 1e-5 < abs(single - fit(times, 0.1, weightCol="n")).max()
